@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lattica.llm.tokens import WordMemo, by_bytes, tokenizer_path
+from lattica.llm.tokens import by_bytes, tokenizer_path, word_memo
 from lattica.session import materialize, scratch, table
 
 #: Ids in one frame at most; longer documents span frames.
@@ -63,7 +63,7 @@ class ArchiveWriter:
         import zstandard
 
         self.sink, self.docs, self.seek = sink, [], []
-        self.zstd = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+        self.zstd = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
 
     def add(self, doc_id: int, ids: bytes) -> None:
         import xxhash
@@ -143,7 +143,7 @@ def write_archives(docs: DataFrame, folder: str, tokenizer: str, end_id: int = E
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memo, writer, sink = WordMemo(path, spaces_dropped=True), None, None
+        memo, writer, sink = word_memo(path, spaces_dropped=True), None, None
         part = TaskContext.get().partitionId()
         end = struct.pack("<H", end_id)
         store, base = _store(folder)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lattica.llm.tokens import WordMemo, by_bytes, tokenizer_path
+from lattica.llm.tokens import by_bytes, tokenizer_path, word_memo
 from lattica.session import discard, materialize, table
 
 CAPACITY = 2048
@@ -166,7 +166,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
     """The pieces of every row of docs (doc_id, text): ids, then the end id, cut only where they exceed capacity."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(tokenizer, spaces_dropped=False)
+        memo = word_memo(tokenizer, spaces_dropped=False)
         end = struct.pack("<H", end_id)
         for batch in by_bytes(batches, BATCH_BYTES):
             rows: list[tuple] = []

@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 
-#: Entries that one worker's memory of words may hold before it starts anew.
-MEMO_ENTRIES = 400_000
-#: Pieces beyond this length are encoded but not remembered.
+#: Words in each of the two generations of a worker's memory (about 160 bytes a word).
+MEMO_WORDS = 400_000
+#: Words beyond this length are encoded but not remembered.
 MEMO_CHARS = 64
+#: Words that go to the library as one text.
+JOINED_WORDS = 2_000
+#: Characters of texts whose words are looked up together.
+ROUND_CHARS = 2 << 20
+
+#: A word of Latin letters (all of them letters in any version of Unicode, lower-cased to one letter:
+#: not so U+0130) and what may follow it.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([^\w\s'<|]*)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,6 +41,27 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Memo:
+    """Values by word in two generations: when the young one is full, the old one goes and the young one grows old."""
+
+    def __init__(self):
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def age(self) -> None:
+        if len(self.young) > MEMO_WORDS:
+            self.old, self.young = self.young, {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Words in neither generation; those in the old one become young again."""
+        new = words.difference(self.young)
+        if self.old:
+            known = new - new.difference(self.old)  # intersection() would walk through the memory
+            self.young.update(zip(known, map(self.old.__getitem__, known)))
+            new -= known
+        return list(new)
+
+
 class WordMemo:
     """Encodes texts with the tokenizers library, each distinct word once.
 
@@ -38,54 +70,135 @@ class WordMemo:
     around it, so the ids of " word" don't depend on the rest; a text with other
     white space at a cut goes to the library whole. With `spaces_dropped` the
     vocabulary's own splitter removes white space, and every cut is safe.
-    Neither kind has an added token that holds a space. Ids are returned as
-    little-endian unsigned 16-bit integers, so the vocabulary must be below 65,536.
+    Neither kind has an added token that holds a space.
+
+    New words go to the library many at a time. Words of Latin letters are
+    joined as running text, and a token that starts (byte-level) or ends a word
+    tells them apart; signs after such a word are split off by either
+    vocabulary's splitter and are looked up on their own. Other words are
+    joined by an added token, at which the library splits before all else. Ids
+    are little-endian unsigned 16-bit integers: the vocabulary is below 65,536.
     """
 
     def __init__(self, path: str, spaces_dropped: bool):
+        import numpy as np
+
         self.tok = load_tokenizer(path)
-        assert self.tok.get_vocab_size() <= 65_536
+        size = self.tok.get_vocab_size()
+        assert size <= 65_536
+        added = self.tok.get_added_tokens_decoder()
+        self.between, self.between_id = next((t.content, k) for k, t in added.items() if t.content.startswith("<|"))
         self.dropped = spaces_dropped
-        self.head: dict[str, bytes | None] = {}
-        self.tail: dict[str, bytes | None] = self.head if spaces_dropped else {}
+        self.edge = np.zeros(size, bool)
+        for token, k in self.tok.get_vocab().items():
+            self.edge[k] = token.endswith("</w>") if spaces_dropped else token.startswith("\u0120")
+        self.head = _Memo()
+        self.tail = self.head if spaces_dropped else _Memo()
+        self.letters = _Memo()
+        self.signs: dict[str, bytes] = {}
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _learn(self, memo: dict[str, bytes | None], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in memo]
-        cut = self.dropped
-        memo.update(zip(new, self._library([lead + w for w in new])))
-        if not cut:
-            for w in new:
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of any words without an added token."""
+        import numpy as np
+
+        out: list[bytes] = []
+        for ids in self._library([self.between.join(words[k : k + JOINED_WORDS]) for k in range(0, len(words), JOINED_WORDS)]):
+            cuts = np.flatnonzero(np.frombuffer(ids, "<u2") == self.between_id) * 2
+            out += [ids[a:b] for a, b in zip([0, *(cuts + 2).tolist()], [*cuts.tolist(), len(ids)])]
+        return out
+
+    def _running(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, each after a space."""
+        import numpy as np
+
+        out: list[bytes] = []
+        for ids in self._library([" " + " ".join(words[k : k + JOINED_WORDS]) for k in range(0, len(words), JOINED_WORDS)]):
+            edges = np.flatnonzero(self.edge[np.frombuffer(ids, "<u2")])
+            cuts = ((edges + 1) if self.dropped else np.append(edges[1:], len(ids) // 2)) * 2
+            at = 0
+            for to in cuts.tolist():
+                out.append(ids[at:to])
+                at = to
+        return out
+
+    def _learn(self, memo: _Memo, words: set[str], lead: str) -> None:
+        new = memo.missing(words)
+        if not new:
+            return
+        rest = new
+        if lead or self.dropped:
+            matched = [_PLAIN.fullmatch(w) for w in new]
+            plain = [m for m in matched if m]
+            rest = [w for w, m in zip(new, matched) if not m]
+            for sign in {m[2] for m in plain}.difference(self.signs):
+                self.signs[sign] = self._library([sign])[0]
+            stems = self.letters.missing({m[1] for m in plain})
+            self.letters.young.update(zip(stems, self._running(stems)))
+            known, signs = self.letters.young, self.signs
+            memo.young.update((m[0], known[m[1]] + signs[m[2]]) for m in plain)
+            if len(signs) > MEMO_WORDS:
+                signs.clear()
+        odd = [w for w in rest if "<|" in w]  # may hold an added token
+        if odd:
+            memo.young.update(zip(odd, self._library([lead + w for w in odd])))
+            rest = [w for w in rest if "<|" not in w]
+        memo.young.update(zip(rest, self._apart([lead + w for w in rest])))
+        if not self.dropped:
+            for w in rest + odd:
                 if not w or w[0].isspace() or w[-1].isspace():
-                    memo[w] = None
+                    memo.young[w] = None
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text; a null text counts as empty."""
+    def _round(self, texts: Sequence[str | None]) -> list[bytes]:
+        for memo in (self.head, self.tail, self.letters):
+            memo.age()
         cut = [(t or "").split(" ") for t in texts]
-        heads, tails = {c[0] for c in cut}, set()
-        for c in cut:
-            tails.update(c[1:])
-        self._learn(self.head, heads, "")
-        self._learn(self.tail, tails, "" if self.dropped else " ")
+        heads = {c[0] for c in cut}
+        if not self.dropped:
+            self._learn(self.head, heads, "")
+            head = [self.head.young[c[0]] for c in cut]
+            for c in cut:
+                del c[0]
+        know = self.tail.young.get
+        found = [list(map(know, c)) for c in cut]
+        new: set[str] = set()
+        for c, v in zip(cut, found):
+            if None in v:
+                new.update([w for w, x in zip(c, v) if x is None])
+        self._learn(self.tail, new, "" if self.dropped else " ")
+        known = self.tail.young.__getitem__
         out: list[bytes] = []
-        for text, c in zip(texts, cut):
+        for k, (c, v) in enumerate(zip(cut, found)):
+            if None in v:
+                v = list(map(known, c))
             try:
-                out.append(self.head[c[0]] + b"".join(map(self.tail.__getitem__, c[1:])) if len(c) > 1 or self.dropped else self._whole(text, c[0]))
-            except TypeError:  # a cut beside other white space
-                out.append(self._library([text or ""])[0])
-        for memo in (self.head, self.tail):
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            else:
-                for w in [w for w in (heads if memo is self.head else tails) if len(w) > MEMO_CHARS]:
-                    memo.pop(w, None)
+                out.append(b"".join(v) if self.dropped else head[k] + b"".join(v))
+            except TypeError:  # a cut beside other white space, or an end of it
+                out.append(self._library([texts[k] or ""])[0])
+        for memo, words in ((self.tail, new), (self.head, heads)):
+            for w in words:
+                if len(w) > MEMO_CHARS:
+                    memo.young.pop(w, None)
         return out
 
-    def _whole(self, text: str | None, only: str) -> bytes:
-        known = self.head[only]
-        return self._library([text or ""])[0] if known is None else known
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of each text; a null text counts as empty."""
+        out: list[bytes] = []
+        at, chars = 0, 0
+        for k, t in enumerate(texts):
+            chars += len(t or "") + 1
+            if chars > ROUND_CHARS:
+                out += self._round(texts[at : k + 1])
+                at, chars = k + 1, 0
+        return out + self._round(texts[at:])
+
+
+@lru_cache(maxsize=2)
+def word_memo(path: str, spaces_dropped: bool) -> WordMemo:
+    """A worker's own, kept from task to task."""
+    return WordMemo(path, spaces_dropped)
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
