@@ -299,7 +299,8 @@ def induce(pages: DataFrame) -> DataFrame:
     differing = materialize(found.groupBy("host", F.xxhash64("nodes").alias("digest")).agg(F.first("nodes").alias("nodes")), "skeletons")
     hosts = differing.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= TEMPLATE_PAGES)
     chunk = F.pmod(F.col("digest"), F.ceil(F.col("pages") / CHUNK_PAGES)).cast("int").alias("chunk")
-    dealt = differing.join(hosts, "host").select("host", chunk, "nodes")
+    # a host's chunks are dealt anew: they would stay together where the join has dealt them by host
+    dealt = differing.join(hosts, "host").select("host", chunk, "nodes").repartition("host", "chunk")
 
     def vote(pdf):
         votes = constant_nodes([bytes(n) for n in pdf["nodes"]])
