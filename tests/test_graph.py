@@ -163,3 +163,80 @@ def test_selectors(spark):
 def test_checkpoint_targets_and_budget():
     assert T.checkpoint_targets(10, 0.3, [0.3, 0.29, 0.9]) == [(0, [0.0]), (3, [0.29, 0.3])]
     assert G.split_budget(7, 3) == [3, 2, 2]
+
+
+def greedy(pairs, n, budget, mode, d_min, guard):
+    """Sequential pruning of the whole graph at once, every score anew at each step."""
+    import math
+
+    from lattica.operators.sequential import is_bridge
+
+    def adjacency(es):
+        a = {x: set() for x in range(n)}
+        for u, v in es:
+            a[u].add(v)
+            a[v].add(u)
+        return a
+
+    base = brute(n, pairs)
+    logs = [[math.log1p(base[x][o]) for x in range(n)] for o in range(15)]
+    mu = [sum(c) / n for c in logs]
+    sd = [max((sum((v - m) ** 2 for v in c) / n) ** 0.5, 0) for c, m in zip(logs, mu)]
+    sd = [s if s >= 1e-12 else 1.0 for s in sd]
+    z = lambda row: [(math.log1p(c) - m) / s for c, m, s in zip(row, mu, sd)]
+    left, out = sorted(pairs), []
+    ids = {e: k for k, e in enumerate(left)}
+    for _ in range(budget):
+        now, a, best = brute(n, left), adjacency(left), None
+        for e in left:
+            if (guard and is_bridge(a, *e)) or min(len(a[e[0]]), len(a[e[1]])) - 1 < d_min:
+                continue
+            after, total = brute(n, [p for p in left if p != e]), 0
+            for x in e:
+                shift = sum(abs(p - q) for p, q in zip(z(now[x]), z(after[x])))
+                total += shift if mode == "absolute" else shift / (1e-8 + sum(map(abs, z(now[x]))))
+            key = (round(total / 2, 9), len(a[e[0]]) + len(a[e[1]]), len(a[e[0]] & a[e[1]]), ids[e])
+            best = min(best, key) if best else key
+        if best is None:
+            break
+        out.append(best[3])
+        left = [e for e in left if ids[e] != best[3]]
+    return out
+
+
+@pytest.mark.parametrize("mode, d_min, guard", [("relative", 1, False), ("absolute", 0, True)])
+def test_sequential_prune(spark, mode, d_min, guard):
+    from lattica.operators.sequential import sequential_prune
+
+    pairs = random_graph(7, 0.5, 4) + [(7 + a, 7 + b) for a, b in random_graph(5, 0.7, 2)]
+    nodes, edges = frames(spark, pairs, 12)
+    got = sequential_prune(nodes, edges, 0.4, mode, d_min, guard).orderBy("round").collect()
+    assert [r["edge_id"] for r in got] == greedy(pairs, 12, round(len(pairs) * 0.4), mode, d_min, guard)
+
+
+def test_regressions(spark):
+    from lattica.operators import learning as L
+
+    rng = random.Random(1)
+    rows = [(k % 12, a := rng.gauss(0, 1), b := rng.gauss(3, 2), 2 * a - b + 1 + rng.gauss(0, 0.01)) for k in range(400)]
+    df = spark.createDataFrame(rows, "g long, a double, b double, y double")
+    alpha, beta = L.grouped_ridge(df, ["a", "b"], "y", "g")
+    assert alpha == 0.01 and beta == pytest.approx([1, 2, -1], abs=0.02)
+    gain = {r["feature"]: r["increase"] for r in L.permutation_importance(df, ["a", "b"], beta, "y", "g", 1).collect()}
+    assert gain["a"] > 0 and gain["b"] > 0
+    s = L.bootstrap_spearman(df, "b", "y", "g", 10).first()
+    assert -1 <= s["low"] <= s["rho"] <= s["high"] < 0
+    assert s["rho"] == pytest.approx(T.spearman(df, "b", "y").first()["rho"])
+
+
+def test_classifier_on_propagated_features(spark):
+    from lattica.operators import learning as L
+
+    pairs = [p for p in combinations(range(12), 2) if p[0] // 6 == p[1] // 6]
+    nodes, edges = frames(spark, pairs, 12)
+    features = nodes.selectExpr("node", "cast(node < 6 as double) + node % 3 as x", "cast(node div 6 as int) as label", "if(node % 3 = 0, 'test', 'train') as split")
+    h = L.propagate(edges, features.select("node", "x"), nodes, "gcn", ["x"]).join(features.select("node", "label", "split"), "node")
+    out = L.train_and_evaluate(h, ["x"]).filter("split = 'test'")
+    assert T.classification(out, "label", "prediction").first()["accuracy"] == 1.0
+    sage = L.propagate(edges, features.select("node", "x"), nodes, "sage", ["x"])
+    assert sage.count() == 12
