@@ -470,3 +470,81 @@ def T01_gcn_propagate(spark, sf_dir):
 def T03_sage_mean(spark, sf_dir):
     f = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"), "p_size")
     return r6(G.bidirectional(_gp(spark, sf_dir)[1]).join(f, "v").groupBy(F.col("u").alias("node")).agg(F.avg("p_size").alias("h")))
+
+
+@query()
+def R16_sequential_trajectory(spark, sf_dir):
+    """The deletions of a tenth of the sparse graph's edges, one at a time, under both guards."""
+    from lattica.operators.sequential import sequential_prune
+
+    return sequential_prune(*load_graph(spark, sf_dir, "gs"), rho=0.1, d_min=0, guard_bridges=True)
+
+
+@query()
+def C04_calibrate_orbit_shift(spark, sf_dir):
+    from lattica.plans.pipelines import calibrate_orbit_shift
+
+    return calibrate_orbit_shift(*load_graph(spark, sf_dir, "gs"), d_min=0)
+
+
+@query()
+def C05_calibrate_dspar(spark, sf_dir):
+    from lattica.plans.pipelines import calibrate_dspar
+
+    return calibrate_dspar(*_gp(spark, sf_dir))
+
+
+@query()
+def C06_calibrate_lsp(spark, sf_dir):
+    from lattica.plans.pipelines import calibrate_lsp
+
+    return calibrate_lsp(*_featured(spark, sf_dir), 3, [1, 2, 3], [0.3, 0.6], 16.0)
+
+
+@query()
+def C02_prune_and_measure(spark, sf_dir):
+    from lattica.plans.pipelines import prune_and_measure
+
+    return prune_and_measure(*load_graph(spark, sf_dir, "gs"), "orbit_shift", 0.05, rounds=1, d_min=0)[1]
+
+
+@query(f"""WITH {_G}{_SUP}, k AS (SELECT u, v FROM e WHERE (u + v) % 5 <> 0) SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM k) AS kept,
+(SELECT round(coalesce(avg((a.label = c.label)::INT::DOUBLE), 0), 6) FROM k JOIN n a ON a.node = k.u JOIN n c ON c.node = k.v) AS pruned_homophily,
+(SELECT count(*) FROM n WHERE node NOT IN (SELECT u FROM k UNION SELECT v FROM k)) AS pruned_isolated""")
+def A09_structural_controls(spark, sf_dir):
+    from lattica.plans.pipelines import structural_controls
+
+    nodes, edges, kept = _pruned(spark, sf_dir)
+    return r6(structural_controls(nodes, edges, kept)).select("edges", "kept", "pruned_homophily", "pruned_isolated")
+
+
+@query()
+def T02_train_and_evaluate(spark, sf_dir):
+    from lattica.plans.pipelines import graph_features, train_on_graph
+
+    nodes, edges = _gp(spark, sf_dir)
+    return r6(train_on_graph(nodes, edges, graph_features(spark, table(spark, sf_dir, "part")), ["x0", "x1"], "sage"))
+
+
+@query(f"""WITH {_G}{_GRAPHLETS}{_MOVES}{_SUMMARY}, i AS (SELECT u, v, row_number() OVER (ORDER BY u, v) AS round FROM e)
+SELECT round, orbit, gain - loss AS net, sum(gain - loss) OVER (PARTITION BY orbit ORDER BY round ROWS UNBOUNDED PRECEDING)::BIGINT AS cumulative_net FROM su JOIN i USING (u, v)""")
+def A12_cumulative_events(spark, sf_dir):
+    from lattica.plans.pipelines import cumulative_events
+
+    nodes, edges, found, moves = _moves(spark, sf_dir)
+    order = G.edge_ids(edges).withColumn("round", F.col("edge_id") + 1)
+    return cumulative_events(S.transition_matrix(moves), order)
+
+
+@query(f"WITH {_G} SELECT 'u' || u AS source, 'v' || v AS target, 1 - 0 AS weight FROM e WHERE u < 50")
+def P07_replace_edges(spark, sf_dir):
+    edges = _gp(spark, sf_dir)[1].filter("u < 50")
+    return edges.select(F.concat(F.lit("u"), F.col("u").cast("string")).alias("source"), F.concat(F.lit("v"), F.col("v").cast("string")).alias("target"), F.lit(1).alias("weight"))
+
+
+@query(f"WITH {_G}{_GRAPHLETS} SELECT pr.bit AS slot, count(*) AS edges FROM g JOIN pr ON (g.mask & pr.bit) <> 0 WHERE g.size = 4 GROUP BY pr.bit")
+def O07_relevant_subsets(spark, sf_dir):
+    """Four-node graphlets by the slot in which they hold an edge."""
+    found = O.graphlets(_gp(spark, sf_dir)[1]).filter("size = 4")
+    bits = F.explode(F.array(*[F.lit(1 << k) for k in range(6)]))
+    return found.select("mask", bits.alias("slot")).filter("(mask & slot) <> 0").groupBy("slot").agg(F.count("*").alias("edges"))

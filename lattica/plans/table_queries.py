@@ -303,3 +303,111 @@ def S18_file_manifest(spark, sf_dir):
     again = files.select("path", F.sha2("content", 256).alias("now"), F.col("length").alias("size"))
     j = listed.join(again, "path", "left")
     return j.agg(F.count("*").alias("files"), F.min((F.col("sha256") == F.col("now")) & (F.col("length") == F.col("size"))).alias("verified"))
+
+
+_REG = "x AS (SELECT accuracy AS y, macro_f1 AS a, train_sec + artifact AS b, artifact FROM ma)"
+
+
+@query(f"WITH {_MASTER}, {_REG} SELECT round(regr_slope(y, a), 6) + 0.0 AS slope, round(regr_intercept(y, a), 6) AS intercept, count(*) AS rows FROM x")
+def M07_least_squares(spark, sf_dir):
+    """Ridge without penalty on one column is the regression line."""
+    from lattica.operators.learning import moments, ridge
+
+    m = master(spark, sf_dir).select(F.col("accuracy").alias("y"), F.col("macro_f1").alias("a"))
+    n, s = moments(m, ["a"], "y")
+    beta = ridge(s, 0.0)
+    return r6(spark.createDataFrame([(float(beta[1]), float(beta[0]), n)], "slope double, intercept double, rows long"))
+
+
+@query()
+def M06_grouped_regression(spark, sf_dir):
+    """Penalty and coefficients chosen over grouped folds, and their permutation importance."""
+    from lattica.operators.learning import grouped_ridge, permutation_importance
+
+    m = master(spark, sf_dir).select("accuracy", "macro_f1", (F.col("train_sec") + F.col("artifact")).alias("cost"), "artifact")
+    _, beta = grouped_ridge(m, ["macro_f1", "cost"], "accuracy", "artifact")
+    return r6(permutation_importance(m, ["macro_f1", "cost"], beta, "accuracy", "artifact"))
+
+
+@query()
+def M11_bootstrap_spearman(spark, sf_dir):
+    from lattica.operators.learning import bootstrap_spearman
+
+    return r6(bootstrap_spearman(master(spark, sf_dir), "accuracy", "macro_f1", "artifact"))
+
+
+@query(f"WITH {_MASTER} SELECT dataset, model, (seed % 3)::INT AS fold, round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS std FROM ma GROUP BY ALL")
+def A14_regression_summary(spark, sf_dir):
+    m = master(spark, sf_dir).withColumn("fold", (F.col("seed") % 3).cast("int"))
+    return r6(m.groupBy("dataset", "model", "fold").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std")))
+
+
+@query(f"WITH {_MASTER} SELECT dataset, median(accuracy) AS accuracy, median(macro_f1) AS macro_f1, median(train_sec) AS train_sec FROM ma GROUP BY dataset")
+def A17_median_of_repeats(spark, sf_dir):
+    return master(spark, sf_dir).groupBy("dataset").agg(*[F.median(c).alias(c) for c in ("accuracy", "macro_f1", "train_sec")])
+
+
+@query(f"WITH {_FRONTIER}{_NEAREST} SELECT nn.dataset, nn.method, nn.target, round(fr.runtime, 6) AS pruning_runtime FROM nn JOIN fr ON fr.run = nn.run")
+def J11_runtime_by_target(spark, sf_dir):
+    f = frontier(spark, sf_dir).select("run", F.col("runtime").alias("pruning_runtime"))
+    return r6(matched(spark, sf_dir).select("dataset", "method", "target", "run").join(f, "run").drop("run"))
+
+
+@query(f"""WITH {_FRONTIER}{_NEAREST}{_GRID}, {_MASTER}, t AS (SELECT model, seed, method, avg(accuracy) AS accuracy FROM ma GROUP BY ALL)
+SELECT g.dataset, g.target, a.model, a.seed, round(a.accuracy, 6) AS orbit_shift, round(b.accuracy, 6) AS dspar, round(c.accuracy, 6) AS lsp FROM gg g, t a JOIN t b USING (model, seed) JOIN t c USING (model, seed)
+WHERE g.status = 'main' AND a.method = 'orbit_shift' AND b.method = 'dspar' AND c.method = 'lsp'""")
+def J12_three_way_match(spark, sf_dir):
+    t = master(spark, sf_dir).groupBy("model", "seed").agg(*[F.avg(F.when(F.col("method") == m, F.col("accuracy"))).alias(m) for m in T.METHODS])
+    grid = T.common_grid(matched(spark, sf_dir)).filter("status = 'main'").select("dataset", "target")
+    return r6(grid.crossJoin(t).select("dataset", "target", "model", "seed", *T.METHODS))
+
+
+@query(f"WITH {_MASTER} SELECT dataset, model, method, seed, run, accuracy FROM ma ORDER BY dataset, method, run LIMIT 500")
+def C10_master_results(spark, sf_dir):
+    """The first page of the sorted master table."""
+    return master(spark, sf_dir).select("dataset", "model", "method", "seed", "run", "accuracy").orderBy("dataset", "method", "run").limit(500)
+
+
+@query(f"WITH {_FRONTIER}{_NEAREST} SELECT dataset, method, target, run FROM nn WHERE abs_gap <= 0.005")
+def C13_gap_manifest(spark, sf_dir):
+    return matched(spark, sf_dir).filter("abs_gap <= 0.005").select("dataset", "method", "target", "run")
+
+
+@query(f"WITH {_MASTER} SELECT count(*) AS rows, count(DISTINCT run) AS runs, count(*) FILTER (accuracy IS NULL) AS missing FROM ma")
+def C16_audit(spark, sf_dir):
+    return master(spark, sf_dir).agg(F.count("*").alias("rows"), F.countDistinct("run").alias("runs"), F.count(F.when(F.col("accuracy").isNull(), 1)).alias("missing"))
+
+
+@query(f"WITH {_MASTER} SELECT run, method, accuracy, NULL::DOUBLE AS epsilon FROM ma")
+def P08_canonical_runs(spark, sf_dir):
+    """Rows of JSON runs, typed: what a run lacks is null, what every run needs raises."""
+    from lattica.sources.artifacts import canonical_runs
+
+    path = scratch(spark, "json")
+    master(spark, sf_dir).select("run", "method", "accuracy").write.json(path)
+    read = spark.read.json(path)
+    return canonical_runs(read, {"run": "bigint", "method": "string", "accuracy": "double", "epsilon": "double"}, ("run", "accuracy"))
+
+
+@query(f"WITH {_MASTER} SELECT run FROM ma WHERE accuracy IS NULL OR isnan(accuracy) OR isinf(accuracy)")
+def P10_require_finite(spark, sf_dir):
+    from lattica.sources.artifacts import require_finite
+
+    return require_finite(master(spark, sf_dir), ["accuracy"]).select("run")
+
+
+@query(f"WITH {_MASTER} SELECT run FROM ma WHERE dataset = '1-URGENT' AND seed::VARCHAR = '3'")
+def P13_string_filters(spark, sf_dir):
+    from lattica.sources.artifacts import parse_filters
+
+    out = master(spark, sf_dir)
+    for name, value in parse_filters(["dataset=1-URGENT", "seed=3"]).items():
+        out = out.filter(F.col(name).cast("string") == value)
+    return out.select("run")
+
+
+@query("WITH w AS (SELECT i::INT AS orbit, CASE WHEN i IN (3, 8, 9, 10, 11) THEN 0.0 ELSE 1.0 END::DOUBLE AS w FROM range(0, 15) t(i)) SELECT orbit, round(w * 15 / sum(w) OVER (), 6) AS w FROM w")
+def W02_resolved_weights(spark, sf_dir):
+    from lattica.sources.artifacts import resolve_weights
+
+    return r6(resolve_weights(leave_orbits=[3, 8], leave_groups=["tailed_triangle"], normalize="mean_one").table(spark))
