@@ -89,7 +89,7 @@ def test_calibrations(spark):
     from lattica.operators.selectors import dspar
 
     assert dspar(nodes, edges, 0.9).count() == eps[0.9]
-    assert P.refinements([(0.1, 0.05), (0.2, 0.3)], [0.06, 0.29, 0.1], [0.02]) == [0.08, 0.12]
+    assert P.refinements([(0.1, 0.05), (0.2, 0.3)], [0.06, 0.295, 0.1], [0.02]) == [0.08, 0.12]
     kept, row = P.prune_and_measure(nodes, edges, "sequential", 0.1, d_min=1)
     assert kept.count() == 72 and row.first()["achieved"] == pytest.approx(0.1)
     assert O.gdv_closed(nodes, star(spark, 40)).filter("node = 0").first()["o7"] == 39 * 38 * 37 // 6
