@@ -149,7 +149,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     indexed = ok.select(own(row_blocks).alias("rb"), every(query_blocks).alias("qb"), F.lit(0).alias("asks"), "vec_id", "embedding")
     asking = asked.select(every(row_blocks).alias("rb"), own(query_blocks).alias("qb"), F.lit(1).alias("asks"), "vec_id", "embedding")
-    tasks = indexed.unionByName(asking).withColumn("task", F.col("rb") * query_blocks + F.col("qb"))
+    tasks = indexed.unionByName(asking).withColumn("task", (F.col("rb") * query_blocks + F.col("qb")).cast("int"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lattica.llm.near_dups import _grouped
@@ -178,7 +178,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), qid)), pa.array(keep[found][order]), pa.array(score[order])], ["query_id", "vec_id", "score"])
 
     partitions = row_blocks * query_blocks
-    found = tasks.repartition(min(partitions, 100_000), "task").sortWithinPartitions("task").mapInArrow(best, "query_id long, vec_id long, score double")
+    found = tasks.repartitionById(partitions, "task").sortWithinPartitions("task").mapInArrow(best, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

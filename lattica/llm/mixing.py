@@ -112,10 +112,10 @@ r AS (SELECT source, 1.0 * (pow(b::DOUBLE, {EXPONENT}) / tr) * tb / b AS rate FR
 q AS (SELECT source, greatest(1, ceil(rate / {STEP}))::INT AS steps, rate / greatest(1, ceil(rate / {STEP})) AS mean FROM r),
 c AS (SELECT source, steps, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS cum FROM q
       UNION ALL SELECT source, steps, mean, k + 1, p * mean / (k + 1), cum + p * mean / (k + 1) FROM c WHERE k < {TERMS - 1}),
-d AS (SELECT doc_id, source, text, unnest(range(1, steps + 1)) AS step FROM documents JOIN q USING (source)),
+d AS (SELECT doc_id, source, text, unnest(range(1, steps + 1)) AS step FROM (SELECT doc_id, documents.source, text, steps FROM documents JOIN q ON documents.source IS NOT DISTINCT FROM q.source)),
 u AS (SELECT doc_id, source, text, step,
         (('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || step::VARCHAR), 1, {_HEX}))::BIGINT::DOUBLE + 0.5) / {float(16**_HEX)!r} AS u FROM d),
-n AS (SELECT doc_id, any_value(u.source) AS source, any_value(text) AS text, count(c.k) AS n FROM u JOIN c ON u.source = c.source AND c.cum < u.u GROUP BY doc_id),
+n AS (SELECT doc_id, any_value(u.source) AS source, any_value(text) AS text, count(c.k) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cum < u.u GROUP BY doc_id),
 e AS (SELECT doc_id, source, text, unnest(range(0, n::BIGINT)) AS copy FROM n)
 SELECT doc_id, source, copy::INT AS copy, strlen(text)::BIGINT AS n_bytes, md5('{SEED}s|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR) AS shuffle_key FROM e
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -11,7 +12,7 @@ from functools import lru_cache
 import pyarrow as pa
 
 #: Words in each of the two generations of a worker's memory (about 160 bytes a word).
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 #: Words beyond this length are encoded but not remembered.
 MEMO_CHARS = 64
 #: Words that go to the library as one text.
@@ -44,12 +45,13 @@ def load_tokenizer(path: str):
 class _Memo:
     """Values by word in two generations: when the young one is full, the old one goes and the young one grows old."""
 
-    def __init__(self):
+    def __init__(self, share: float = 1.0):
+        self.share = share
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
     def age(self) -> None:
-        if len(self.young) > MEMO_WORDS:
+        if len(self.young) > MEMO_WORDS * self.share:
             self.old, self.young = self.young, {}
 
     def missing(self, words: set[str]) -> list[str]:
@@ -94,7 +96,7 @@ class WordMemo:
             self.edge[k] = token.endswith("</w>") if spaces_dropped else token.startswith("\u0120")
         self.head = _Memo()
         self.tail = self.head if spaces_dropped else _Memo()
-        self.letters = _Memo()
+        self.letters = _Memo(0.5)
         self.signs: dict[str, bytes] = {}
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
@@ -172,7 +174,7 @@ class WordMemo:
         out: list[bytes] = []
         for k, (c, v) in enumerate(zip(cut, found)):
             if None in v:
-                v = list(map(known, c))
+                v = [known(w) if x is None else x for w, x in zip(c, v)]
             try:
                 out.append(b"".join(v) if self.dropped else head[k] + b"".join(v))
             except TypeError:  # a cut beside other white space, or an end of it
@@ -187,12 +189,18 @@ class WordMemo:
         """Ids of each text; a null text counts as empty."""
         out: list[bytes] = []
         at, chars = 0, 0
-        for k, t in enumerate(texts):
-            chars += len(t or "") + 1
-            if chars > ROUND_CHARS:
-                out += self._round(texts[at : k + 1])
-                at, chars = k + 1, 0
-        return out + self._round(texts[at:])
+        collects = gc.isenabled()
+        gc.disable()  # a round makes many lists and no cycles
+        try:
+            for k, t in enumerate(texts):
+                chars += len(t or "") + 1
+                if chars > ROUND_CHARS:
+                    out += self._round(texts[at : k + 1])
+                    at, chars = k + 1, 0
+            return out + self._round(texts[at:])
+        finally:
+            if collects:
+                gc.enable()
 
 
 @lru_cache(maxsize=2)
