@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import bidirectional, degrees, four_cliques, support, triangles
+from lattica.session import materialize
 
 ORBITS = 15
 #: Bits of a mask: pairs of places in a graphlet's sorted nodes.
@@ -105,9 +106,10 @@ def wide(long: DataFrame) -> DataFrame:
 
 def gdv_closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and o0 to o14 by identities over degrees, triangles, common neighbours and 4-cliques: no enumeration of 4-node sets."""
-    edges = edges.select("u", "v")
-    tri = triangles(edges)
-    sup = support(edges, tri)
+    # each is read by several branches below, and would be computed for each of them
+    edges = materialize(edges.select("u", "v"), "edges")
+    tri = materialize(triangles(edges), "triangles")
+    sup = materialize(support(edges, tri), "support")
     deg = degrees(nodes, edges)
     t_node = tri.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
     info = deg.join(t_node, "node", "left").select("node", F.col("degree").alias("d"), F.coalesce("t", F.lit(0)).alias("t"))

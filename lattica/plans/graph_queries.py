@@ -548,3 +548,56 @@ def O07_relevant_subsets(spark, sf_dir):
     found = O.graphlets(_gp(spark, sf_dir)[1]).filter("size = 4")
     bits = F.explode(F.array(*[F.lit(1 << k) for k in range(6)]))
     return found.select("mask", bits.alias("slot")).filter("(mask & slot) <> 0").groupBy("slot").agg(F.count("*").alias("edges"))
+
+
+@query(f"WITH {_G}{_GRAPHLETS}{_MOVES} SELECT u, v, node, orbit, delta FROM de WHERE node IN (u, v)")
+def O08_endpoint_delta_closed(spark, sf_dir):
+    """The deltas of O10 from counts of shapes, without enumerating graphlets."""
+    from lattica.operators.edge_masks import endpoint_delta, mask_histogram
+
+    return endpoint_delta(mask_histogram(*_gp(spark, sf_dir)))
+
+
+@query(f"WITH {_G}{_GRAPHLETS}, hi AS (SELECT g.n[pr.i] AS u, g.n[pr.j] AS v, g.size, bit_count(g.mask) AS edges FROM g JOIN pr ON (g.mask & pr.bit) <> 0) SELECT u, v, size, edges::INT AS edges, count(*) AS n FROM hi GROUP BY ALL")
+def O08_shapes_by_edge(spark, sf_dir):
+    """Graphlets that hold an edge by their size and number of edges, counted in closed form."""
+    from lattica.operators.edge_masks import mask_histogram
+
+    h = mask_histogram(*_gp(spark, sf_dir))
+    return h.groupBy("u", "v", "size", F.bit_count("mask").alias("edges")).agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {_G}{_GRAPHLETS}{_score_sql()} SELECT {_SCORED.format('mean_rel')} FROM sc")
+def R05_edge_scores_closed(spark, sf_dir):
+    """All edges' scores from closed forms alone: the scoring that hubs don't break."""
+    from lattica.operators.edge_masks import endpoint_delta, mask_histogram
+
+    nodes, edges = _gp(spark, sf_dir)
+    long = materialize(_long(spark, sf_dir), "gdv")
+    return r6(S.edge_scores(edges, long, O.standardization(long), endpoint_delta(mask_histogram(nodes, edges)), "relative"))
+
+
+@query(f"WITH {_G} SELECT row_number() OVER (ORDER BY node) - 1 AS place, node FROM n WHERE node % 4 = 1")
+def S03_mask_to_index(spark, sf_dir):
+    """Nodes of a split mask as an index list."""
+    nodes = _gp(spark, sf_dir)[0].withColumn("mask", F.array(F.col("node") % 4 == 0, F.col("node") % 4 == 1))
+    held = nodes.select("node", F.posexplode("mask").alias("split", "own")).filter("split = 1 and own").select("node")
+    from pyspark.sql import Window as W
+
+    return held.select((F.row_number().over(W.orderBy("node")) - 1).cast("long").alias("place"), "node")
+
+
+@query(f"WITH {_G}, x AS (SELECT u, v FROM e WHERE u % 2 = 0), y AS (SELECT u, v FROM e WHERE v % 2 = 0) SELECT 'both' AS part, count(*) AS edges FROM (SELECT * FROM x INTERSECT SELECT * FROM y) UNION ALL SELECT 'first', count(*) FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM x UNION SELECT * FROM y)")
+def L06_edge_set_algebra(spark, sf_dir):
+    edges = _gp(spark, sf_dir)[1]
+    x, y = edges.filter("u % 2 = 0"), edges.filter("v % 2 = 0")
+    n = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").alias("edges"))
+    return n(x.intersect(y), "both").unionByName(n(x.subtract(y), "first")).unionByName(n(x.union(y).distinct(), "either"))
+
+
+@query(f"WITH {_G}{_SUP} SELECT min(e.u * 100000 + e.v) AS least, count(*) AS edges FROM e JOIN sup USING (u, v) WHERE support = (SELECT max(support) FROM sup)")
+def R08_best_edge(spark, sf_dir):
+    """The best key by one reduction: greatest support, then least edge."""
+    s = G.support(_gp(spark, sf_dir)[1])
+    best = s.groupBy("support").agg(F.min(F.col("u") * 100000 + F.col("v")).alias("least"), F.count("*").alias("edges"))
+    return best.agg(F.max_by(F.struct("least", "edges"), "support").alias("b")).select("b.least", "b.edges")

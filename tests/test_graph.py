@@ -240,3 +240,14 @@ def test_classifier_on_propagated_features(spark):
     assert T.classification(out, "label", "prediction").first()["accuracy"] == 1.0
     sage = L.propagate(edges, features.select("node", "x"), nodes, "sage", ["x"])
     assert sage.count() == 12
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closed_deltas(spark, seed):
+    from lattica.operators.edge_masks import endpoint_delta, mask_histogram
+
+    pairs = random_graph(10, 0.25 + 0.2 * seed, 20 + seed) + [(0, k) for k in range(10, 14)]
+    pairs = sorted(set(pairs))
+    nodes, edges = frames(spark, pairs, 14)
+    key = lambda df: sorted(map(tuple, df.select("u", "v", "node", "orbit", "delta").collect()))
+    assert key(endpoint_delta(mask_histogram(nodes, edges))) == key(S.raw_delta(S.transitions(O.graphlets(edges)), endpoints_only=True))
