@@ -37,7 +37,7 @@ FILE_BYTES = 32 << 20
 #: Appended to every document.
 END_ID = 2
 #: Bytes of text handed to the tokenizer at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 #: Fixed values of the public zstd seekable format, and this format's own table of documents.
 SEEK_MAGIC = 0x8F92EAB1

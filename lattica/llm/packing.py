@@ -35,7 +35,7 @@ POPULATION, CHILDREN, EPOCHS = 4, 10, 2
 ELITE_BINS = 256
 #: Of a bin that counts as well-filled.
 WELL_FILLED = 0.98
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 SEED = 20_260
 _NULL_ID = -(2**63)
 

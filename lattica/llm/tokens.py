@@ -18,7 +18,7 @@ MEMO_CHARS = 64
 #: Words that go to the library as one text.
 JOINED_WORDS = 2_000
 #: Characters of texts whose words are looked up together.
-ROUND_CHARS = 2 << 20
+ROUND_CHARS = 8 << 20
 
 #: A word of Latin letters (all of them letters in any version of Unicode, lower-cased to one letter:
 #: not so U+0130) and what may follow it.
@@ -49,6 +49,7 @@ class _Memo:
         self.share = share
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
+        self.long: list[str] = []
 
     def age(self) -> None:
         if len(self.young) > MEMO_WORDS * self.share:
@@ -61,8 +62,14 @@ class _Memo:
             known = new - new.difference(self.old)  # intersection() would walk through the memory
             self.young.update(zip(known, map(self.old.__getitem__, known)))
             new -= known
+        self.long += [w for w in new if len(w) > MEMO_CHARS]
         return list(new)
 
+    def forget_long(self) -> None:
+        for w in self.long:
+            self.young.pop(w, None)
+        self.long.clear()
+
 
 class WordMemo:
     """Encodes texts with the tokenizers library, each distinct word once.
@@ -154,35 +161,43 @@ class WordMemo:
                     memo.young[w] = None
 
     def _round(self, texts: Sequence[str | None]) -> list[bytes]:
+        import numpy as np
+        import pyarrow.compute as pc
+
         for memo in (self.head, self.tail, self.letters):
             memo.age()
-        cut = [(t or "").split(" ") for t in texts]
-        heads = {c[0] for c in cut}
-        if not self.dropped:
-            self._learn(self.head, heads, "")
-            head = [self.head.young[c[0]] for c in cut]
-            for c in cut:
-                del c[0]
-        know = self.tail.young.get
-        found = [list(map(know, c)) for c in cut]
-        new: set[str] = set()
-        for c, v in zip(cut, found):
-            if None in v:
-                new.update([w for w, x in zip(c, v) if x is None])
-        self._learn(self.tail, new, "" if self.dropped else " ")
-        known = self.tail.young.__getitem__
-        out: list[bytes] = []
-        for k, (c, v) in enumerate(zip(cut, found)):
-            if None in v:
-                v = [known(w) if x is None else x for w, x in zip(c, v)]
-            try:
-                out.append(b"".join(v) if self.dropped else head[k] + b"".join(v))
-            except TypeError:  # a cut beside other white space, or an end of it
-                out.append(self._library([texts[k] or ""])[0])
-        for memo, words in ((self.tail, new), (self.head, heads)):
-            for w in words:
-                if len(w) > MEMO_CHARS:
-                    memo.young.pop(w, None)
+        cut = pc.split_pattern(pa.array([t or "" for t in texts], pa.string()), " ")
+        ends = cut.offsets.to_numpy()
+        coded = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        ends = ends - ends[0]
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self._learn(self.tail, set(words), "" if self.dropped else " ")
+        values = list(map(self.tail.young.__getitem__, words))
+        if not self.dropped:  # a text's first word has no space before it
+            heads = [words[k] for k in codes[ends[:-1]]]
+            self._learn(self.head, set(heads), "")
+            codes = codes.copy()
+            codes[ends[:-1]] = np.arange(len(words), len(words) + len(heads))
+            values += map(self.head.young.__getitem__, heads)
+        # cuts beside other white space, or at an end of it: such texts go to the library whole
+        whole = np.zeros(len(texts), bool)
+        if None in values:
+            bad = np.array([v is None for v in values])
+            values = [v or b"" for v in values]
+            whole = np.add.reduceat(bad[codes], ends[:-1]) > 0
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        first = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        to = np.cumsum(n)
+        places = np.repeat(first[codes] - (to - n), n)
+        places += np.arange(len(places))
+        ids = np.frombuffer(b"".join(values), "<u2")[places].tobytes()
+        stops = np.append(0, to)[ends] * 2
+        out = [ids[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist())]
+        for k in np.flatnonzero(whole):
+            out[k] = self._library([texts[k] or ""])[0]
+        for memo in (self.head, self.tail, self.letters):
+            memo.forget_long()
         return out
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
@@ -197,7 +212,7 @@ class WordMemo:
                 if chars > ROUND_CHARS:
                     out += self._round(texts[at : k + 1])
                     at, chars = k + 1, 0
-            return out + self._round(texts[at:])
+            return out + self._round(texts[at:]) if at < len(texts) else out
         finally:
             if collects:
                 gc.enable()
