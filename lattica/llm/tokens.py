@@ -12,7 +12,7 @@ from functools import lru_cache
 import pyarrow as pa
 
 #: Words in each of the two generations of a worker's memory (about 160 bytes a word).
-MEMO_WORDS = 450_000
+MEMO_WORDS = 550_000
 #: Words beyond this length are encoded but not remembered.
 MEMO_CHARS = 64
 #: Words that go to the library as one text.
@@ -103,7 +103,7 @@ class WordMemo:
             self.edge[k] = token.endswith("</w>") if spaces_dropped else token.startswith("\u0120")
         self.head = _Memo()
         self.tail = self.head if spaces_dropped else _Memo()
-        self.letters = _Memo(0.25)
+        self.letters = _Memo(0.5)
         self.signs: dict[str, bytes] = {}
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
