@@ -99,6 +99,8 @@ class ArchiveReader:
         self.starts = np.concatenate([[0], np.cumsum(self.seek["packed"], dtype=np.int64)])
         (n,) = struct.unpack("<Q", self._at(head - 16, 8))
         self.docs = np.frombuffer(self._at(head - 16 - n * _DOC.itemsize, n * _DOC.itemsize), _DOC)
+        self.frames = list(zip(self.starts.tolist(), self.seek["packed"].tolist(), self.seek["check"].tolist()))
+        self.spans = list(zip(self.docs["frame"].tolist(), (self.docs["frame"] + self.docs["frames"]).tolist()))
 
     def _at(self, place: int, length: int) -> bytes:
         self.source.seek(place)
@@ -108,10 +110,10 @@ class ArchiveReader:
         import xxhash
 
         out = []
-        for f in range(int(self.docs[k]["frame"]), int(self.docs[k]["frame"]) + int(self.docs[k]["frames"])):
-            part = self.zstd.decompress(self._at(int(self.starts[f]), int(self.seek[f]["packed"])))
-            if xxhash.xxh64_intdigest(part) & 0xFFFFFFFF != self.seek[f]["check"]:
-                raise ValueError(f"frame {f} is damaged")
+        for start, packed, check in self.frames[slice(*self.spans[k])]:
+            part = self.zstd.decompress(self._at(start, packed))
+            if xxhash.xxh64_intdigest(part) & 0xFFFFFFFF != check:
+                raise ValueError(f"a frame of document {k} is damaged")
             out.append(part)
         return b"".join(out)
 
@@ -184,7 +186,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(row["file"]) as f:
-                    r = ArchiveReader(f)
+                    r = ArchiveReader(io.BytesIO(f.read()))  # every document is wanted: one read of the file
                     n = r.docs["ids"].astype(np.int64)
                     crc = [zlib.crc32(np.frombuffer(r.ids(k), "<u2").astype("<u4").tobytes()) for k in range(len(n))]
                     null = r.docs["doc_id"] == -(2**63)

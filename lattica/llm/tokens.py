@@ -105,6 +105,7 @@ class WordMemo:
         self.tail = self.head if spaces_dropped else _Memo()
         self.letters = _Memo(0.5)
         self.signs: dict[str, bytes] = {}
+        self.rounds = 0
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
@@ -198,8 +199,10 @@ class WordMemo:
             out[k] = self._library([texts[k] or ""])[0]
         for memo in (self.head, self.tail, self.letters):
             memo.forget_long()
-        del cut, coded
-        pa.default_memory_pool().release_unused()
+        self.rounds += 1
+        if self.rounds % 4 == 0:
+            del cut, coded
+            pa.default_memory_pool().release_unused()
         return out
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
