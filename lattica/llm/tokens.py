@@ -12,7 +12,7 @@ from functools import lru_cache
 import pyarrow as pa
 
 #: Words in each of the two generations of a worker's memory (about 160 bytes a word).
-MEMO_WORDS = 550_000
+MEMO_WORDS = 700_000
 #: Words beyond this length are encoded but not remembered.
 MEMO_CHARS = 64
 #: Words that go to the library as one text.
@@ -45,14 +45,13 @@ def load_tokenizer(path: str):
 class _Memo:
     """Values by word in two generations: when the young one is full, the old one goes and the young one grows old."""
 
-    def __init__(self, share: float = 1.0):
-        self.share = share
+    def __init__(self):
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
         self.long: list[str] = []
 
     def age(self) -> None:
-        if len(self.young) > MEMO_WORDS * self.share:
+        if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
 
     def missing(self, words: set[str]) -> list[str]:
@@ -103,7 +102,6 @@ class WordMemo:
             self.edge[k] = token.endswith("</w>") if spaces_dropped else token.startswith("\u0120")
         self.head = _Memo()
         self.tail = self.head if spaces_dropped else _Memo()
-        self.letters = _Memo(0.5)
         self.signs: dict[str, bytes] = {}
         self.rounds = 0
 
@@ -145,10 +143,10 @@ class WordMemo:
             rest = [w for w, m in zip(new, matched) if not m]
             for sign in {m[2] for m in plain}.difference(self.signs):
                 self.signs[sign] = self._library([sign])[0]
-            stems = self.letters.missing({m[1] for m in plain})
-            self.letters.young.update(zip(stems, self._running(stems)))
-            known, signs = self.letters.young, self.signs
-            memo.young.update((m[0], known[m[1]] + signs[m[2]]) for m in plain)
+            stems = memo.missing({m[1] for m in plain})
+            memo.young.update(zip(stems, self._running(stems)))
+            known, signs = memo.young, self.signs
+            known.update([(m[0], known[m[1]] + signs[m[2]]) for m in plain if m[2]])
             if len(signs) > MEMO_WORDS:
                 signs.clear()
         odd = [w for w in rest if "<|" in w]  # may hold an added token
@@ -165,7 +163,7 @@ class WordMemo:
         import numpy as np
         import pyarrow.compute as pc
 
-        for memo in (self.head, self.tail, self.letters):
+        for memo in (self.head, self.tail):
             memo.age()
         cut = pc.split_pattern(pa.array([t or "" for t in texts], pa.string()), " ")
         ends = cut.offsets.to_numpy()
@@ -197,7 +195,7 @@ class WordMemo:
         out = [ids[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist())]
         for k in np.flatnonzero(whole):
             out[k] = self._library([texts[k] or ""])[0]
-        for memo in (self.head, self.tail, self.letters):
+        for memo in (self.head, self.tail):
             memo.forget_long()
         self.rounds += 1
         if self.rounds % 4 == 0:
