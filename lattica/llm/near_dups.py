@@ -44,7 +44,7 @@ BANDS = VALUES // BAND_ROWS
 class Shingler:
     """Fingerprint sets of texts, and their signatures."""
 
-    MEMO = 400_000
+    MEMO = 150_000
 
     def __init__(self, words: int, permutations: int = PERMUTATIONS, seed: int = SEED):
         import xxhash

@@ -12,7 +12,7 @@ from functools import lru_cache
 import pyarrow as pa
 
 #: Words in each of the two generations of a worker's memory (about 160 bytes a word).
-MEMO_WORDS = 700_000
+MEMO_WORDS = 380_000
 #: Words beyond this length are encoded but not remembered.
 MEMO_CHARS = 64
 #: Words that go to the library as one text.
