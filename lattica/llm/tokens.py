@@ -21,9 +21,11 @@ JOINED_WORDS = 2_000
 ROUND_CHARS = 8 << 20
 
 #: A word of Latin letters (all of them letters in any version of Unicode, lower-cased to one letter:
-#: not so U+0130) and what may follow it.
+#: not so U+0130) and signs that may follow it: ASCII's and general punctuation's, none of which a normalizer
+#: joins to what stands before it. Combining marks are no such signs: NFC makes one letter of e and U+0301.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-_PLAIN = re.compile(rf"([{_LETTERS}]+)([^\w\s'<|]*)")
+_SIGNS = re.escape("!\"#$%&()*+,-./:;=>?@[\\]^`{}~") + "\u2010-\u2027"
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([{_SIGNS}]*)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -83,9 +85,10 @@ class WordMemo:
     New words go to the library many at a time. Words of Latin letters are
     joined as running text, and a token that starts (byte-level) or ends a word
     tells them apart; signs after such a word are split off by either
-    vocabulary's splitter and are looked up on their own. Other words are
-    joined by an added token, at which the library splits before all else. Ids
-    are little-endian unsigned 16-bit integers: the vocabulary is below 65,536.
+    vocabulary's splitter and are looked up on their own. Other words, as
+    those with combining marks, stay whole and are joined by an added token, at
+    which the library splits before all else. Ids are little-endian unsigned
+    16-bit integers: the vocabulary is below 65,536.
     """
 
     def __init__(self, path: str, spaces_dropped: bool):

@@ -261,6 +261,18 @@ def test_word_memo(name, dropped, monkeypatch):
         assert got == library(name, texts)
 
 
+@pytest.mark.parametrize("name, dropped", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_word_memo_composes(name, dropped):
+    """Marks that NFC joins to the letter before them aren't cut off from it."""
+    marks = [chr(k) for k in range(0x300, 0x370)] + ["\u0338", "\u20d0", "\u0345"]
+    words = [stem + mark + sign for stem in ("cafe", "O", "u", "naı", "s", "ü") for mark in marks for sign in ("", ",", "\u2019", "=\u0338", "!\u0301")]
+    rng = random.Random(6)
+    texts = words + [" ".join(rng.choices(words, k=30)) for _ in range(200)] + ["\u0301 e \u0301e", "e" + "\u0323\u0301", "e\u0301\u0323."]
+    texts += [f"word{chr(k)} word{chr(k)}x {chr(k)}" for k in range(0x2010, 0x2028)] + [f"word{chr(k)}\u0301 Word{chr(k)}" for k in range(33, 127)]
+    memo = tokens.WordMemo(tokens.tokenizer_path(name), dropped)
+    assert [np.frombuffer(b, "<u2").tolist() for b in memo.encode(texts)] == library(name, texts)
+
+
 # 6 ------------------------------------------------------------------------------------------
 
 PAGE = (
