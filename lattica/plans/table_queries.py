@@ -368,6 +368,12 @@ def C10_master_results(spark, sf_dir):
     return master(spark, sf_dir).select("dataset", "model", "method", "seed", "run", "accuracy").orderBy("dataset", "method", "run").limit(500)
 
 
+@query(f"WITH {_MASTER} SELECT dataset, model, method, seed, run, accuracy, macro_f1, train_sec, artifact FROM ma ORDER BY dataset, model, method, run")
+def C10_master_table(spark, sf_dir):
+    """The whole sorted master table."""
+    return master(spark, sf_dir).select("dataset", "model", "method", "seed", "run", "accuracy", "macro_f1", "train_sec", "artifact").orderBy("dataset", "model", "method", "run")
+
+
 @query(f"WITH {_FRONTIER}{_NEAREST} SELECT dataset, method, target, run FROM nn WHERE abs_gap <= 0.005")
 def C13_gap_manifest(spark, sf_dir):
     return matched(spark, sf_dir).filter("abs_gap <= 0.005").select("dataset", "method", "target", "run")

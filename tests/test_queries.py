@@ -42,6 +42,11 @@ def test_query(spark, duck, name):
         assert rows(got, columns) == rows(want, columns)
 
 
+def test_master_table_is_whole_and_sorted(spark, duck):
+    got = [(r["dataset"], r["model"], r["method"], r["run"]) for r in QUERIES["C10_master_table"](spark, DATA).collect()]
+    assert len(got) == duck.sql("SELECT count(*) FROM orders").fetchall()[0][0] > 500 and got == sorted(got)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
