@@ -22,6 +22,14 @@ def bidirectional(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *rest))
 
 
+def replace_edges(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph with other edges: the same nodes with all their columns (labels, features, splits), and the new edges' u, v and weight, if named.
+
+    The new edges are taken as they come and needn't be among the old ones.
+    """
+    return nodes, edges.select("u", "v", *([F.col(weight).cast("double").alias("weight")] if weight else []))
+
+
 def edge_ids(edges: DataFrame) -> DataFrame:
     """edge_id from 0 in the order of (u, v). One global order: meant for graphs that a sequential method follows."""
     return edges.withColumn("edge_id", F.row_number().over(W.orderBy("u", "v")).cast("long") - 1)

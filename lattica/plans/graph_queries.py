@@ -542,6 +542,24 @@ def P07_replace_edges(spark, sf_dir):
     return edges.select(F.concat(F.lit("u"), F.col("u").cast("string")).alias("source"), F.concat(F.lit("v"), F.col("v").cast("string")).alias("target"), F.lit(1).alias("weight"))
 
 
+_SPLIT = "CASE p_partkey % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"
+
+
+@query(f"""WITH {_G} SELECT 'node' AS kind, p_partkey AS u, p_partkey AS v, p_brand AS label, {_SPLIT} AS split, 0.0::DOUBLE AS weight FROM part
+UNION ALL SELECT 'edge', e.u, e.v, '', '', round(1.0 / a.degree + 1.0 / c.degree, 6) FROM e JOIN d a ON a.node = e.u JOIN d c ON c.node = e.v""")
+def P07_replaced_bundle(spark, sf_dir):
+    """The sparse graph with all edges of the dense one in place of its own, weighted: a row a node with label and split as before, and a row an edge."""
+    old = load_graph(spark, sf_dir, "gs")[0]
+    fifth = F.col("node") % 5
+    old = old.withColumn("split", F.when(fifth == 0, "test").when(fifth == 1, "val").otherwise("train"))
+    every = _gp(spark, sf_dir)
+    d = G.degrees(*every)
+    new = every[1].join(d.toDF("u", "du"), "u").join(d.toDF("v", "dv"), "v").withColumn("w", 1.0 / F.col("du") + 1.0 / F.col("dv"))
+    nodes, edges = G.replace_edges(old, new, "w")
+    own = nodes.select(F.lit("node").alias("kind"), F.col("node").alias("u"), F.col("node").alias("v"), "label", "split", F.lit(0.0).alias("weight"))
+    return r6(own.unionByName(edges.select(F.lit("edge").alias("kind"), "u", "v", F.lit("").alias("label"), F.lit("").alias("split"), "weight")))
+
+
 @query(f"WITH {_G}{_GRAPHLETS} SELECT pr.bit AS slot, count(*) AS edges FROM g JOIN pr ON (g.mask & pr.bit) <> 0 WHERE g.size = 4 GROUP BY pr.bit")
 def O07_relevant_subsets(spark, sf_dir):
     """Four-node graphlets by the slot in which they hold an edge."""

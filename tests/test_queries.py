@@ -47,6 +47,16 @@ def test_master_table_is_whole_and_sorted(spark, duck):
     assert len(got) == duck.sql("SELECT count(*) FROM orders").fetchall()[0][0] > 500 and got == sorted(got)
 
 
+def test_replaced_bundle_has_all_nodes_and_edges(spark):
+    from lattica.sources.graphs import load_graph
+
+    nodes, edges = load_graph(spark, DATA, "gp")
+    got = QUERIES["P07_replaced_bundle"](spark, DATA)
+    assert sorted(r["u"] for r in got.filter("kind = 'node' and split <> ''").collect()) == sorted(r["node"] for r in nodes.collect())
+    want = sorted(map(tuple, edges.select("u", "v").collect()))
+    assert sorted(map(tuple, got.filter("kind = 'edge' and weight > 0").select("u", "v").collect())) == want and max(u for u, _ in want) >= 50
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
