@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -111,20 +114,110 @@ def select_winners(hashed: DataFrame, k: int) -> DataFrame:
     return won
 
 
-def random_planes(dims: int, k: int, sparsity: float, step: float, seed: int) -> list[tuple[list[int], list[float], float]]:
-    """Planes of a random projection: coefficients, then biases, then dimensions with replacement, from one seeded stream."""
+def random_planes(dims: int, k: int, sparsity: float, seed: int) -> list[tuple[list[int], list[float], float]]:
+    """Planes of a random projection: coefficients, then biases (normal both), then dimensions with replacement, from one seeded stream."""
     rng, n = np.random.RandomState(seed), lsh_dims(dims, sparsity)
     planes = rng.standard_normal((k, n))
-    biases = rng.uniform(0, step, k)
+    biases = rng.standard_normal(k)
     chosen = [rng.randint(0, dims, n) for _ in range(k)]
     return [(c.tolist(), p.tolist(), float(b)) for c, p, b in zip(chosen, planes, biases)]
 
 
-def lsp(edges: DataFrame, features: DataFrame, dims: int, k: int, sparsity: float, step: float, seed: int = 0) -> DataFrame:
-    """Canonical edges that some node selects under k random projections."""
+def random_thresholds(dims: int, k: int, sparsity: float, seed: int) -> tuple[list[tuple[int, int]], list[int], list[float]]:
+    """Of one seeded stream: k pairs of the minimum hash, then for each of k functions dimensions without replacement and their thresholds, normal around 1."""
+    rng, n = np.random.RandomState(seed), lsh_dims(dims, sparsity)
+    pairs = [(int(rng.randint(0, PRIME)), int(rng.randint(0, PRIME))) for _ in range(k)]
+    chosen, thresholds = [], []
+    for _ in range(k):
+        chosen += rng.permutation(dims)[:n].tolist()
+        thresholds += (rng.normal(0.0, 1.0, n) + 1.0).tolist()
+    return pairs, chosen, thresholds
+
+
+def lsp(edges: DataFrame, features: DataFrame, dims: int, k: int, sparsity: float, step: float | None, seed: int = 0, variant: str = "p") -> DataFrame:
+    """Canonical edges that some node selects under k random projections (variant p), or k minimum hashes of threshold signatures (variant t, without a step)."""
     from lattica.operators.graph import canonical_edges
 
     if k <= 0 or sparsity <= 0:
         raise ValueError("k and sparsity have to be positive")
-    hashed = projection_hashes(edge_features(edges, features), random_planes(2 * dims, k, sparsity, step, seed), step)
+    rows = edge_features(edges, features)
+    if variant == "p":
+        hashed = projection_hashes(rows, random_planes(2 * dims, k, sparsity, seed), step)
+    elif variant == "t":
+        pairs, chosen, thresholds = random_thresholds(dims, k, sparsity, seed)
+        hashed = permutation_hashes(threshold_signature(rows, chosen + [dims + d for d in chosen], thresholds * 2), "token", pairs)
+    else:
+        raise ValueError(f"unknown variant {variant!r}")
     return canonical_edges(select_winners(hashed, k))
+
+
+def _hashes(x: np.ndarray, dims: int, variant: str, k: int, n: int, step: float | None, seed: int) -> list[np.ndarray]:
+    """The k hashes of rows x, as `projection_hashes` and `permutation_hashes` give them."""
+    if variant == "p":
+        out = []
+        for chosen, plane, bias in random_planes(2 * dims, k, n / (2 * dims), seed):
+            dot = np.full(len(x), bias)
+            for d, c in zip(chosen, plane):
+                dot = dot + x[:, d] * c
+            out.append(np.floor(dot / step).astype(np.int64))
+        return out
+    pairs, chosen, thresholds = random_thresholds(dims, k, n / dims, seed)
+    bits = np.packbits(x[:, chosen + [dims + d for d in chosen]] <= np.array(thresholds * 2), axis=1)
+    held, of = np.unique(bits, axis=0, return_inverse=True)
+    words = ["".join(map(str, np.unpackbits(b)[: 2 * len(chosen)])) for b in held]
+    token = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % PRIME for w in words], np.int64)[of.reshape(-1)]
+    return [(a * token + b) % PRIME for a, b in pairs]
+
+
+def _winners(hashes: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """Rows that `select_winners` takes: segments begin at `starts`, rows of each in order of their positions."""
+    n = len(hashes[0])
+    used, at, of = np.zeros(n, bool), np.arange(n), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    for h in hashes:
+        least = np.minimum.reduceat(np.where(used, np.iinfo(np.int64).max, h), starts)
+        first = np.minimum.reduceat(np.where((h == least[of]) & ~used, at, n), starts)
+        used[first[first < n]] = True
+    return used
+
+
+def lsp_counts(rows: DataFrame, dims: int, settings: Sequence[tuple[str, int, int, float | None]], seed: int = 0) -> list[int]:
+    """Edges that `lsp` keeps for each (variant, k, hashed dimensions, step), in one pass; rows: `edge_features`."""
+    settings = list(settings)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chosen(t: pa.Table) -> pa.RecordBatch:
+            u, v = t.column("u").to_numpy(), t.column("v").to_numpy()
+            x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(u), 2 * dims)
+            starts = np.append(0, np.flatnonzero(u[1:] != u[:-1]) + 1)
+            bits = np.stack([_winners(_hashes(x, dims, *s, seed), starts) for s in settings], axis=1)
+            held = [b.tobytes() for b in np.packbits(bits, axis=1)]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(held, pa.binary())], ["u", "v", "bits"])
+
+        held: pa.Table | None = None  # a node's rows stay together
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            u = held.column("u").to_numpy()
+            last = int(np.searchsorted(u, u[-1]))
+            if last:
+                yield chosen(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield chosen(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(settings), np.int64)
+        for batch in batches:
+            for c in (batch,) if batch.num_rows else ():
+                a, b = (np.frombuffer(b"".join(c.column(k).to_pylist()), np.uint8).reshape(c.num_rows, -1) for k in ("a", "b"))
+                n += np.unpackbits(a | b, axis=1)[:, : len(settings)].sum(axis=0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["setting", "n"])
+
+    cast = rows.select(F.col("u").cast("long"), F.col("v").cast("long"), "pos", "x")
+    partitions = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = cast.repartition(partitions, "u").sortWithinPartitions("u", "pos").select("u", "v", "x").mapInArrow(select, "u long, v long, bits binary")
+    both = own.groupBy("u", "v").agg(F.min("bits").alias("a"), F.max("bits").alias("b"))  # an edge has two rows, one from either end
+    found = both.select("a", "b").mapInArrow(count, "setting long, n long").groupBy("setting").agg(F.sum("n").alias("n"))
+    of = {r["setting"]: r["n"] for r in found.collect()}
+    return [of.get(k, 0) for k in range(len(settings))]

@@ -482,23 +482,23 @@ def R16_sequential_trajectory(spark, sf_dir):
 
 @query()
 def C04_calibrate_orbit_shift(spark, sf_dir):
-    from lattica.plans.pipelines import calibrate_orbit_shift
+    from lattica.plans.pipelines import TARGETS, calibrate_orbit_shift
 
-    return calibrate_orbit_shift(*load_graph(spark, sf_dir, "gs"), d_min=0)
+    return calibrate_orbit_shift(*load_graph(spark, sf_dir, "gs"), targets=TARGETS, d_min=0)
 
 
 @query()
 def C05_calibrate_dspar(spark, sf_dir):
-    from lattica.plans.pipelines import calibrate_dspar
+    from lattica.plans.pipelines import TARGETS, calibrate_dspar
 
-    return calibrate_dspar(*_gp(spark, sf_dir))
+    return calibrate_dspar(*_gp(spark, sf_dir), targets=TARGETS)
 
 
 @query()
 def C06_calibrate_lsp(spark, sf_dir):
     from lattica.plans.pipelines import calibrate_lsp
 
-    return calibrate_lsp(*_featured(spark, sf_dir), 3, [1, 2, 3], [0.3, 0.6], 16.0)
+    return calibrate_lsp(*_featured(spark, sf_dir), 3)
 
 
 @query()

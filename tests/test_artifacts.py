@@ -93,3 +93,34 @@ def test_calibrations(spark):
     kept, row = P.prune_and_measure(nodes, edges, "sequential", 0.1, d_min=1)
     assert kept.count() == 72 and row.first()["achieved"] == pytest.approx(0.1)
     assert O.gdv_closed(nodes, star(spark, 40)).filter("node = 0").first()["o7"] == 39 * 38 * 37 // 6
+
+
+def test_calibrations_refine(spark):
+    edges = ring(spark, 40)
+    nodes = spark.range(40).toDF("node")
+    rho = {r["rho"]: r["removed"] for r in P.calibrate_orbit_shift(nodes, edges, [0.05, 0.1, 0.2], targets=[0.13, 0.2], d_min=1).collect()}
+    assert rho == {0.05: 4, 0.08: 6, 0.09: 7, 0.1: 8, 0.11: 9, 0.12: 10, 0.2: 16}
+    full = {r["rho"]: r["removed"] for r in P.calibrate_orbit_shift(nodes, edges, [0.1, 0.9], targets=[0.8], d_min=1).collect()}
+    assert full.keys() == {0.1, 0.9} and full[0.9] < 72  # the guards left nothing: no refinement
+    from lattica.operators.selectors import dspar
+
+    eps = {r["epsilon"]: r["kept"] for r in P.calibrate_dspar(nodes, edges, [0.4, 0.9], targets=[0.3]).collect()}
+    assert len(eps) == 12 and all(eps[e] == dspar(nodes, edges, e).count() for e in (0.4, 0.35, 0.9, 0.85) if e in eps)
+
+
+def test_calibrate_lsp_is_both_variants_over_the_grid(spark):
+    import random
+
+    from lattica.operators.selectors import lsp
+
+    rng = random.Random(3)
+    edges = ring(spark, 60, (1, 2, 5, 7, 11))
+    features = spark.createDataFrame([(k, [rng.gauss(1, 1) for _ in range(4)]) for k in range(60)], "node long, features array<double>")
+    coarse = P.calibrate_lsp(edges, features, 4, targets=[]).collect()
+    assert len(coarse) == 6 * 19 * 6 + 6 * 19
+    out = P.calibrate_lsp(edges, features, 4, targets=[0.3]).collect()
+    got = {(r["variant"], r["k"], r["sparsity"], r["step"]): r["kept"] for r in out}
+    assert len(out) == len(got) and got.items() >= {(r["variant"], r["k"], r["sparsity"], r["step"]): r["kept"] for r in coarse}.items()
+    assert all(n in got for v in "pt" for n in P.lsp_neighbours(min((s for s in got if s[0] == v and s[1] in P.LSP_KS and s[2] in P.LSP_SPARSITIES and (v == "t" or s[3] in P.LSP_STEPS)), key=lambda s: (abs(1 - got[s] / 300 - 0.3), s[1], s[2], s[3] or 0.0))))
+    for v, k, share, step in (("p", 3, 0.5, 0.5), ("p", 1, 0.95, 4.0), ("p", 5, 0.25, 0.125), ("t", 2, 0.5, None), ("t", 5, 0.95, None), ("t", 1, 0.25, None)):
+        assert got[v, k, share, step] == lsp(edges, features, 4, k, share, step, variant=v).count()
