@@ -60,7 +60,7 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> tuple[DataFrame, l
     return df.withColumns({n: (F.col(column) == v).cast("double") for n, v in zip(names, values)}), names
 
 
-def permutation_importance(test: DataFrame, columns: list[str], beta: np.ndarray, target: str, group: str, repeats: int = 3, seed: int = 0) -> DataFrame:
+def permutation_importance(test: DataFrame, columns: list[str], beta: np.ndarray, target: str, group: str, repeats: int = 32, seed: int = 0) -> DataFrame:
     """feature, repeat, increase: the rise of the mean absolute error when a feature's values are dealt over groups anew.
 
     A group's value is its mean; groups take the value of the next group in a
@@ -70,22 +70,18 @@ def permutation_importance(test: DataFrame, columns: list[str], beta: np.ndarray
 
     base = test.agg(F.avg(F.abs(F.col(target) - predicted(columns, beta))).alias("base"))
     means = test.groupBy(group).agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
-    out = None
-    for r in range(repeats):
-        # one row a group: groups are artifacts, not rows
-        order = W.orderBy(F.xxhash64(F.lit(seed + r), group))
-        last = F.row_number().over(order) == 1
-        nxt = means.select(group, *[F.coalesce(F.lag(f"m_{c}").over(order), F.last(f"m_{c}").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias(f"p_{c}") for c in columns], last.alias("__first")).drop("__first")
-        j = test.join(nxt, group)
-        errors = [F.avg(F.abs(F.col(target) - (predicted(columns, beta) + (F.col(f"p_{c}") - F.col(c)) * F.lit(float(b))))).alias(c) for c, b in zip(columns, beta[1:])]
-        e = j.agg(*errors).crossJoin(base)
-        rows = e.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) - F.col("base")).alias("increase")) for c in columns])).alias("x")).select("x.*")
-        rows = rows.withColumn("repeat", F.lit(r))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def bootstrap_spearman(df: DataFrame, x: str, y: str, group: str, repeats: int = 20, seed: int = 0) -> DataFrame:
+    # a row a group and repeat: groups are artifacts, not rows
+    many = means.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = W.partitionBy("repeat").orderBy(F.xxhash64(F.lit(seed) + F.col("repeat"), group))
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    nxt = many.select(group, "repeat", *[F.coalesce(F.lag(f"m_{c}").over(order), F.last(f"m_{c}").over(whole)).alias(f"p_{c}") for c in columns])
+    errors = [F.avg(F.abs(F.col(target) - (predicted(columns, beta) + (F.col(f"p_{c}") - F.col(c)) * F.lit(float(b))))).alias(c) for c, b in zip(columns, beta[1:])]
+    e = test.join(nxt, group).groupBy("repeat").agg(*errors).crossJoin(base)
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) - F.col("base")).alias("increase")) for c in columns]))
+    return e.select(rows.alias("x"), "repeat").select("x.*", "repeat")
+
+
+def bootstrap_spearman(df: DataFrame, x: str, y: str, group: str, repeats: int = 200, seed: int = 0) -> DataFrame:
     """One row: rank correlation, and its 2.5 and 97.5 % quantiles over resamples of whole groups.
 
     A group's copies in a resample come from a Poisson number of mean 1 by

@@ -95,6 +95,11 @@ def batch_prune(nodes: DataFrame, edges: DataFrame, rho: float, rounds: int, mod
     budget isn't given to others. Graphlets are enumerated once: deletions clear
     bits, and what isn't connected any more drops out.
     """
+    return batch_rounds(nodes, edges, rho, rounds, mode, d_min, guard_bridges, weights)[:2]
+
+
+def batch_rounds(nodes: DataFrame, edges: DataFrame, rho: float, rounds: int, mode: str = "relative", d_min: int = 2, guard_bridges: bool = False, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `batch_prune` gives, and a record of each round: round, requested, active_before, eligible, blocked_by_bridge, blocked_by_d_min, selected, remaining."""
     from lattica.operators.graph import bridges
 
     spark = edges.sparkSession
@@ -102,12 +107,15 @@ def batch_prune(nodes: DataFrame, edges: DataFrame, rho: float, rounds: int, mod
     found = materialize(graphlets(left), "graphlets")
     stats = materialize(standardization(gdv_long(nodes, found)), "stats")
     removed: list[DataFrame] = []
+    records: list[tuple[int, ...]] = []
     for number, budget in enumerate(split_budget(round(left.count() * rho), rounds), 1):
         if not budget:
             continue
         delta = raw_delta(transitions(found), endpoints_only=True)
         scores = edge_scores(left, gdv_long(nodes, found), stats, delta, mode, weights=weights)
-        ranked = ranked_candidates(nodes, left, scores, d_min, bridges(left) if guard_bridges else None)
+        barred = materialize(bridges(left).select("u", "v"), "bridges") if guard_bridges else None
+        reasons = {r["reason"]: r["n"] for r in guard_reasons(nodes, left, d_min, barred).groupBy("reason").agg(F.count("*").alias("n")).collect()}
+        ranked = ranked_candidates(nodes, left, scores, d_min, barred)
         gone = materialize(ranked.orderBy("score", "degree", "support", "u", "v").limit(budget).select(F.lit(number).alias("round"), "u", "v", "score"), "removed")
         removed.append(gone)
         slots = F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.get("n", F.lit(a)).alias("u"), F.get("n", F.lit(b)).alias("v")) for k, (a, b) in enumerate(PAIRS)])
@@ -115,11 +123,21 @@ def batch_prune(nodes: DataFrame, edges: DataFrame, rho: float, rounds: int, mod
         masked = found.join(cut, "n", "left").select("size", "n", F.expr("mask & ~coalesce(gone, 0)").alias("mask"))
         last, found = found, materialize(masked.join(F.broadcast(mask_table(spark).select("size", "mask").distinct()), ["size", "mask"], "left_semi").select("size", "n", "mask"), "graphlets")
         before, left = left, materialize(remove_edges(left, gone), "edges")
+        active, chosen = sum(reasons.values()), gone.count()
+        records.append((number, budget, active, reasons.get("eligible", 0), reasons.get("bridge_guard", 0), reasons.get("d_min_guard", 0), chosen, active - chosen))
         discard(spark, last, before)
     every = removed[0] if removed else left.select(F.lit(0).alias("round"), "u", "v", F.lit(0.0).alias("score")).limit(0)
     for more in removed[1:]:
         every = every.unionByName(more)
-    return left, every
+    names = ("round", "requested", "active_before", "eligible", "blocked_by_bridge", "blocked_by_d_min", "selected", "remaining")
+    return left, every, spark.createDataFrame(records, ", ".join(f"{n} long" for n in names))
+
+
+def round_summary(records: DataFrame, edges: int) -> DataFrame:
+    """One row for rounds of `batch_rounds` on a graph of so many edges: requested, removed, shortfall, ceiling_hit (the guards left less than was asked for) and achieved."""
+    out = records.agg(F.coalesce(F.sum("requested"), F.lit(0)).alias("requested"), F.coalesce(F.sum("selected"), F.lit(0)).alias("removed"))
+    short = F.col("requested") - F.col("removed")
+    return out.select("*", short.alias("shortfall"), (short > 0).alias("ceiling_hit"), (F.col("removed") / F.lit(max(edges, 1))).alias("achieved"))
 
 
 def structural_metrics(one: DataFrame, two: DataFrame, stats: DataFrame, eps: float = 1e-8) -> DataFrame:

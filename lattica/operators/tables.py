@@ -147,6 +147,17 @@ def classification(df: DataFrame, y: str, p: str) -> DataFrame:
     return j.agg((F.sum("tp") / F.sum("n_y")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
 
 
+def manifest_reasons(matched: DataFrame, artifact: str, gap: float = 0.005) -> DataFrame:
+    """Adds reason: why a matched target (target, abs_gap, saturated) can't enter a manifest, or `accepted`.
+
+    An artifact that serves several targets, each else acceptable, is accepted for none.
+    """
+    alone = F.when(F.col("abs_gap") > gap, "target_gap").when(F.col("saturated"), "saturated").otherwise("accepted")
+    n = F.count(F.when(F.col("reason") == "accepted", 1)).over(W.partitionBy(artifact))
+    out = matched.withColumn("reason", alone).withColumn("__n", n)
+    return out.withColumn("reason", F.when((F.col("reason") == "accepted") & (F.col("__n") > 1), "artifact_matched_twice").otherwise(F.col("reason"))).drop("__n")
+
+
 def folds(df: DataFrame, artifact: str, n: int) -> DataFrame:
     """Each artifact and its fold: sorted artifacts dealt in turn."""
     ids = df.select(artifact).distinct()

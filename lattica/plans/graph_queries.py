@@ -347,6 +347,12 @@ def R02_batch_prune(spark, sf_dir):
     return S.batch_prune(*load_graph(spark, sf_dir, "gs"), rho=0.1, rounds=3, guard_bridges=True, d_min=1)[1]
 
 
+@query()
+def R18_batch_rounds(spark, sf_dir):
+    """What each round of R02 was asked for, what its guards left and blocked, and what it took."""
+    return S.batch_rounds(*load_graph(spark, sf_dir, "gs"), rho=0.1, rounds=3, guard_bridges=True, d_min=1)[2]
+
+
 def _pruned(spark, sf_dir):
     nodes, edges = _gp(spark, sf_dir)
     return nodes, edges, edges.filter("(u + v) % 5 <> 0")

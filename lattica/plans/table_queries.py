@@ -379,6 +379,14 @@ def C13_gap_manifest(spark, sf_dir):
     return matched(spark, sf_dir).filter("abs_gap <= 0.005").select("dataset", "method", "target", "run")
 
 
+@query(f"""WITH {_FRONTIER}{_NEAREST}, al AS (SELECT *, CASE WHEN abs_gap > 0.005 THEN 'target_gap' WHEN run % 13 = 0 THEN 'saturated' ELSE 'accepted' END AS alone FROM nn)
+SELECT dataset, method, target, run, CASE WHEN alone = 'accepted' AND count(*) FILTER (alone = 'accepted') OVER (PARTITION BY run) > 1 THEN 'artifact_matched_twice' ELSE alone END AS reason FROM al""")
+def C13_manifest_reasons(spark, sf_dir):
+    """Matched targets and why they may or may not enter the manifest; a thirteenth of the runs counts as saturated."""
+    m = matched(spark, sf_dir).withColumn("saturated", F.col("run") % 13 == 0)
+    return T.manifest_reasons(m, "run").select("dataset", "method", "target", "run", "reason")
+
+
 @query(f"WITH {_MASTER} SELECT count(*) AS rows, count(DISTINCT run) AS runs, count(*) FILTER (accuracy IS NULL) AS missing FROM ma")
 def C16_audit(spark, sf_dir):
     return master(spark, sf_dir).agg(F.count("*").alias("rows"), F.countDistinct("run").alias("runs"), F.count(F.when(F.col("accuracy").isNull(), 1)).alias("missing"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from lattica.operators import graph as G
@@ -251,3 +252,32 @@ def test_closed_deltas(spark, seed):
     nodes, edges = frames(spark, pairs, 14)
     key = lambda df: sorted(map(tuple, df.select("u", "v", "node", "orbit", "delta").collect()))
     assert key(endpoint_delta(mask_histogram(nodes, edges))) == key(S.raw_delta(S.transitions(O.graphlets(edges)), endpoints_only=True))
+
+
+def test_rounds_are_recorded(spark):
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (2, 3)], "u long, v long")
+    nodes = spark.range(4).toDF("node")
+    left, gone, records = S.batch_rounds(nodes, edges, 1.0, 2, d_min=1, guard_bridges=True)
+    got = [tuple(r) for r in records.orderBy("round").collect()]
+    # the triangle's edges go in the first round, all but one of them within its budget of 2; then two bridges are left
+    assert got == [(1, 2, 4, 3, 1, 0, 2, 2), (2, 2, 2, 0, 2, 0, 0, 2)]
+    assert gone.count() == 2 and left.count() == 2
+    assert tuple(S.round_summary(records, 4).first()) == (4, 2, 2, True, 0.5)
+
+
+def test_manifest_rejects(spark):
+    rows = [(0.1, 0.004, False, "a"), (0.105, 0.001, False, "a"), (0.2, 0.001, True, "b"), (0.3, 0.006, False, "c"), (0.305, 0.001, False, "c"), (0.4, 0.0, False, "d")]
+    m = spark.createDataFrame(rows, "target double, abs_gap double, saturated boolean, run string")
+    got = {r["target"]: r["reason"] for r in T.manifest_reasons(m, "run").collect()}
+    assert got == {0.1: "artifact_matched_twice", 0.105: "artifact_matched_twice", 0.2: "saturated", 0.3: "target_gap", 0.305: "accepted", 0.4: "accepted"}
+
+
+def test_repeats_are_the_reference_s(spark):
+    import inspect
+
+    from lattica.operators import learning as L
+
+    df = spark.createDataFrame([(k % 5, float(k), float(10 * (k * k % 7))) for k in range(30)], "g long, a double, y double")
+    got = L.permutation_importance(df, ["a"], np.array([0.0, 1.0]), "y", "g").collect()
+    assert sorted(r["repeat"] for r in got) == list(range(32)) and len({r["increase"] for r in got}) > 3
+    assert inspect.signature(L.bootstrap_spearman).parameters["repeats"].default == 200
