@@ -3,7 +3,8 @@
 A source's target repetition rate is what its target weight makes of its bytes.
 Each document inverts a Poisson distribution of that mean at a uniform number
 from a seeded hash of its id, is repeated as often as that says, and the copies
-are shuffled globally by another hash.
+are shuffled globally by another hash. Rows without an id, and rows that share
+one, draw each on its own: by what they hold and by their number among equal rows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm.rows import named
 from lattica.session import materialize, table
 
 SEED = 20_260
@@ -69,32 +71,33 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, exponen
     """The rows of docs (doc_id, text, source and any other columns), each as often as drawn, in a global shuffle.
 
     Keeps the columns and adds copy (from 0) and shuffle_key. The draw depends on
-    the seed, the doc_id (null counts as empty text) and the source's rate alone, so rows that
-    repeat a doc_id are repeated alike. Null texts are rows like others. Columns
-    of docs named copy or shuffle_key are replaced. An empty table gives none.
+    the seed, the doc_id and the source's rate alone. Rows with a null doc_id, or
+    with one that other rows have too, draw each on its own (`rows.named`), so a
+    third of all rows may lack an id. Null texts are rows like others. Columns
+    of docs named copy or shuffle_key are replaced; such of a map type can't be
+    compared, so they are allowed only where ids are unique. An empty table gives none.
     """
     kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     rates = materialize(source_rates(docs, weights, exponent, size), "rates")
     steps = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP).cast("int"))
     plan = rates.select(F.col("source").alias("__source"), steps.alias("__steps"), _cumulative(F.col("rate") / steps).alias("__cdf"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    rows = named(docs.select(*[F.col(f"`{c}`") for c in kept]))
     if rates.count() <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__source")))
     else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("__who"), F.lit(SALTS)).cast("int")
         spread = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         left = rows.withColumn("__of", salt)
         joined = left.join(spread, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__of") == F.col("__salt")))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
     def draw(k: Column) -> Column:
-        u = _uniform(F.lit(str(seed)), doc, k.cast("string"))
+        u = _uniform(F.lit(str(seed)), F.col("__who"), k.cast("string"))
         return F.size(F.filter("__cdf", lambda c: c < u))
 
     n = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("__steps")), draw), F.lit(0), lambda a, b: a + b)
     # the hash is evaluated once a row, before rows are repeated
     copies = joined.withColumn("__n", n).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    key = F.md5(F.concat_ws("|", F.lit(f"{seed}s"), doc, F.col("copy").cast("string")))
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed}s"), F.col("__who"), F.col("copy").cast("string")))
     mixed = copies.select(*[F.col(f"`{c}`") for c in kept], "copy", key.alias("shuffle_key"))
     partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return mixed.repartition(partitions, "shuffle_key").sortWithinPartitions("shuffle_key")
@@ -105,17 +108,22 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", F.octet_length("text").cast("long").alias("n_bytes"), "shuffle_key")
 
 
+#: Names rows as `rows.named` does; documents has the columns doc_id, text, lang, source, n_chars.
 OP9_SQL = f"""
-WITH RECURSIVE s AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS b FROM documents GROUP BY source),
+WITH RECURSIVE o AS (SELECT doc_id, text, lang, source, n_chars, count(*) OVER (PARTITION BY doc_id) AS of_id,
+    row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) - 1 AS place FROM documents),
+w AS (SELECT doc_id, text, source, CASE WHEN doc_id IS NOT NULL AND of_id = 1 THEN doc_id::VARCHAR ELSE concat_ws('|', coalesce(doc_id::VARCHAR, ''),
+    md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, chr(0)), coalesce(text, chr(0)), coalesce(lang, chr(0)), coalesce(source, chr(0)), coalesce(n_chars::VARCHAR, chr(0)))), place::VARCHAR) END AS who FROM o),
+s AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS b FROM documents GROUP BY source),
 t AS (SELECT sum(b)::DOUBLE AS tb, sum(pow(b::DOUBLE, {EXPONENT})) AS tr FROM s),
 r AS (SELECT source, 1.0 * (pow(b::DOUBLE, {EXPONENT}) / tr) * tb / b AS rate FROM s, t),
 q AS (SELECT source, greatest(1, ceil(rate / {STEP}))::INT AS steps, rate / greatest(1, ceil(rate / {STEP})) AS mean FROM r),
 c AS (SELECT source, steps, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS cum FROM q
       UNION ALL SELECT source, steps, mean, k + 1, p * mean / (k + 1), cum + p * mean / (k + 1) FROM c WHERE k < {TERMS - 1}),
-d AS (SELECT doc_id, source, text, unnest(range(1, steps + 1)) AS step FROM (SELECT doc_id, documents.source, text, steps FROM documents JOIN q ON documents.source IS NOT DISTINCT FROM q.source)),
-u AS (SELECT doc_id, source, text, step,
-        (('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || step::VARCHAR), 1, {_HEX}))::BIGINT::DOUBLE + 0.5) / {float(16**_HEX)!r} AS u FROM d),
-n AS (SELECT doc_id, any_value(u.source) AS source, any_value(text) AS text, count(c.k) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cum < u.u GROUP BY doc_id),
-e AS (SELECT doc_id, source, text, unnest(range(0, n::BIGINT)) AS copy FROM n)
-SELECT doc_id, source, copy::INT AS copy, strlen(text)::BIGINT AS n_bytes, md5('{SEED}s|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR) AS shuffle_key FROM e
+d AS (SELECT who, doc_id, source, text, unnest(range(1, steps + 1)) AS step FROM (SELECT who, doc_id, w.source, text, steps FROM w JOIN q ON w.source IS NOT DISTINCT FROM q.source)),
+u AS (SELECT who, doc_id, source, text, step,
+        (('0x' || substr(md5('{SEED}|' || who || '|' || step::VARCHAR), 1, {_HEX}))::BIGINT::DOUBLE + 0.5) / {float(16**_HEX)!r} AS u FROM d),
+n AS (SELECT who, any_value(doc_id) AS doc_id, any_value(u.source) AS source, any_value(text) AS text, count(c.k) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cum < u.u GROUP BY who),
+e AS (SELECT who, doc_id, source, text, unnest(range(0, n::BIGINT)) AS copy FROM n)
+SELECT doc_id, source, copy::INT AS copy, strlen(text)::BIGINT AS n_bytes, md5('{SEED}s|' || who || '|' || copy::VARCHAR) AS shuffle_key FROM e
 """
