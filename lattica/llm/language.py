@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.llm.tokens import by_bytes
 from lattica.session import table
@@ -27,6 +28,8 @@ DIMENSIONS, SEED = 1024, 20_260
 MEMO_TRIGRAMS = 40_000
 #: Bytes of text that are turned into counts at once.
 BATCH_BYTES = 512 << 10
+#: Code points of a text that are counted at once, trigrams that are bound at once, and cells of a table of counts.
+PIECE_CHARS, BOUND_TRIGRAMS, COUNT_CELLS = 1 << 20, 8_192, 1 << 24
 #: Languages that a profile may hold: bounds what the driver gathers (languages x dimensions).
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
@@ -53,23 +56,32 @@ class Trigrams:
         self.places: dict[int, int] = {}
         self.vectors = np.zeros((1024, dimensions), np.int8)
 
-    def codes(self, text: str) -> np.ndarray:
-        """Lower-case letters, with one 0 for each run of anything else, one at either end too; none if there's no letter."""
+    def _letters(self, text: str) -> np.ndarray:
+        """The lower-case letter for each code point, 0 for anything else."""
         c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         low = self.table[np.minimum(c, 0xFFFF)]
         for k in np.flatnonzero(c > 0xFFFF):
             ch = chr(c[k])
             low[k] = ord(ch.lower()[0]) if ch.isalpha() else 0
-        if not low.any():
-            return low[:0]
-        low = np.concatenate([[0], low, [0]]).astype(np.uint64)
-        return low[np.concatenate([[True], (low[1:] != 0) | (low[:-1] != 0)])]
+        return low.astype(np.uint64)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        c = self.codes(text)
-        if not len(c):
-            return c, c
-        return np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:], return_counts=True)
+        """Distinct trigrams of the letters, with one 0 for each run of anything else and at either end; none if there's no letter."""
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        tail = np.zeros(1, np.uint64)  # the last two codes so far
+        for at in range(0, len(text), PIECE_CHARS):
+            last = at + PIECE_CHARS >= len(text)
+            low = np.concatenate([tail, self._letters(text[at : at + PIECE_CHARS]), np.zeros(int(last), np.uint64)])
+            keep = np.ones(len(low), bool)
+            keep[len(tail) :] = (low[len(tail) :] != 0) | (low[len(tail) - 1 : -1] != 0)
+            c = low[keep]
+            tail = c[-2:]
+            found, times = np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:], return_counts=True)
+            if len(keys):
+                found, place = np.unique(np.concatenate([keys, found]), return_inverse=True)
+                times = np.bincount(place, np.concatenate([n, times])).astype(np.int64)
+            keys, n = found, times
+        return keys, n
 
     def _letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -96,14 +108,27 @@ class Trigrams:
     def bundles(self, texts: list[str]) -> np.ndarray:
         """The texts' vectors, a row each; zero for texts without letters. Sums are exact."""
         found = [self.counts(t) for t in texts]
-        keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
-        counts = np.zeros((len(texts), len(keys)), np.float32 if sum(map(len, texts)) < 1 << 23 else np.float64)
+        out = np.zeros((len(texts), self.dimensions))
+        at = 0
+        while at < len(found):  # texts whose table of counts is bounded: one at least
+            to, cells = at + 1, len(found[at][0])
+            while to < len(found) and (to + 1 - at) * (cells + len(found[to][0])) <= COUNT_CELLS:
+                cells += len(found[to][0])
+                to += 1
+            self._sum(found[at:to], out[at:to])
+            at = to
+        return out
+
+    def _sum(self, found: list[tuple[np.ndarray, np.ndarray]], out: np.ndarray) -> None:
+        keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        counts = np.zeros((len(found), len(keys)), np.float32 if sum(int(n.sum()) for _, n in found) < 1 << 23 else np.float64)
         begin = 0
         for k, (_, n) in enumerate(found):
             counts[k, at[begin : begin + len(n)]] = n
             begin += len(n)
-        places = self.rows(keys)
-        return (counts @ self.vectors[places].astype(counts.dtype)).astype(np.float64)
+        for k in range(0, len(keys), BOUND_TRIGRAMS):
+            places = self.rows(keys[k : k + BOUND_TRIGRAMS])
+            out += counts[:, k : k + BOUND_TRIGRAMS] @ self.vectors[places].astype(counts.dtype)
 
 
 def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -137,9 +162,17 @@ def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SE
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], seed: int = SEED) -> DataFrame:
     """doc_id, lang_pred and score for every row of docs (doc_id, text); ties go to the lesser lang.
 
+    A null text, one without a letter, and any text where no language was learned
+    give `und` and 0. Null ids and repeated rows stay; other columns are left behind.
+    """
+    return predicted(docs.select("doc_id", "text"), profiles, seed).select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def predicted(docs: DataFrame, profiles: dict[str, np.ndarray], seed: int = SEED) -> DataFrame:
+    """The rows of docs with all their columns, and `__lang` and `__score`.
+
     The score is the cosine, 0 where it's negative. A null text, one without a
     letter, and any text where no language was learned give `und` and 0.
-    Null ids and repeated rows stay; other columns are left behind.
     """
     names = sorted(profiles)
     units = np.array([profiles[n] / max(np.linalg.norm(profiles[n]), 1e-300) for n in names]).T if names else None
@@ -157,9 +190,10 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], seed: int = SEED)
                 for k in np.flatnonzero(norms):
                     lang[k] = names[best[k]]
                     score[k] = min(1.0, max(0.0, float(cosines[k, best[k]])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], [*names_in, "__lang", "__score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    names_in = docs.columns
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
