@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lattica.llm.rows import named
 from lattica.session import scratch, table
 
 #: UTF-8 bytes of text that one bucket holds on average; what a task sorts in memory.
@@ -21,7 +22,7 @@ SEED = 20_260
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"))
+    return df.select("doc_id", "text", "__who", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"))
 
 
 def shuffle_shards(
@@ -33,17 +34,15 @@ def shuffle_shards(
     ids and null texts are records like others, repeated rows are kept as many
     times as they occur, and an empty table gives an empty result. Columns other
     than doc_id and text are left behind. Equal texts have no bearing on the
-    place: the hash takes doc_id and text, so copies under different ids scatter.
+    place: the hash takes doc_id and text, so copies under different ids scatter,
+    and rows without an id, or that share one, scatter too (`rows.named`).
     """
     spark = docs.sparkSession
-    rows = _sized(docs)
+    rows = _sized(named(docs.select("doc_id", "text")))
     total = rows.agg(F.sum("size").alias("bytes")).first()["bytes"] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    # rows without an id are told apart by their place in the scan, so that a third of all rows may lack one
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), "copy"), F.lit(buckets)).cast("int")
-    placed = rows.withColumn("copy", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))).select(
-        "doc_id", "text", bucket.alias("bucket")
-    )
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "__who", F.xxhash64("text")), F.lit(buckets)).cast("int")
+    placed = rows.select("doc_id", "text", "__who", bucket.alias("bucket"))
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     ends = F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
     # one row a bucket: the table of buckets stays small against the rows (one for each 32 MB)
@@ -52,11 +51,12 @@ def shuffle_shards(
         plan.repartitionById(buckets, "bucket")
         .withColumn("perm", F.shuffle(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(seed)))
     )
-    order = W.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "text")
+    order = W.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "__who"), "__who")
     dealt = (
         placed.repartitionById(buckets, "bucket")
         .withColumn("at", F.row_number().over(order) - 1)
-        .join(perm, "bucket")
+        # merged, not broadcast: a permutation holds a number for each row, and one stands at a bucket's side at a time
+        .join(perm.hint("merge"), "bucket")
         .withColumn("rank", F.col("first") + F.element_at("perm", (F.col("at") + 1).cast("int")))
         # shard s holds the ranks from floor(s * total / shards) on
         .withColumn("shard", F.expr(f"((rank + 1) * {shards} - 1) div total").cast("int"))
