@@ -131,13 +131,13 @@ def write_archives(docs: DataFrame, folder: str, tokenizer: str, end_id: int = E
 
     Documents stand in ascending doc_id, over all files; rows that repeat an id
     stand together, ordered by a hash of their text. A null text is empty: it
-    holds the end id alone. Rows with a null doc_id come first, with the least
-    64-bit integer in the file and null when read. An empty table has no files.
+    holds the end id alone. Rows with a null doc_id come first; they have the
+    least 64-bit integer in the file, which counts them, and null when read. An empty table has no files.
     A task that runs again writes a file of another name; the table of files
     names those that count.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 1).alias("b")).first()["b"] or 0
     files = max(1, -(-total // file_bytes))
     path = tokenizer
@@ -150,20 +150,22 @@ def write_archives(docs: DataFrame, folder: str, tokenizer: str, end_id: int = E
         end = struct.pack("<H", end_id)
         store, base = _store(folder)
         name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.ids"
+        nulls = 0
         for batch in by_bytes(batches, BATCH_BYTES):
+            nulls += batch.column("doc_id").null_count
             if writer is None:
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(name)
                 writer = ArchiveWriter(sink)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), memo.encode(batch.column("text").to_pylist())):
-                writer.add(doc_id, ids + end)
+                writer.add(-(2**63) if doc_id is None else doc_id, ids + end)
         if writer is not None:
             writer.close()
             sink.close()
             d = np.array(writer.docs, _DOC)
             yield pa.RecordBatch.from_pydict(
                 {"file": [name], "part": pa.array([part], pa.int32()), "first_id": [int(d["doc_id"][0])], "last_id": [int(d["doc_id"][-1])],
-                 "docs": [len(d)], "ids": [int(d["ids"].sum())], "null_ids": [int((d["doc_id"] == -(2**63)).sum())]}
+                 "docs": [len(d)], "ids": [int(d["ids"].sum())], "null_ids": [nulls]}
             )
 
     key = F.xxhash64("text")
@@ -189,14 +191,14 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                     r = ArchiveReader(io.BytesIO(f.read()))  # every document is wanted: one read of the file
                     n = r.docs["ids"].astype(np.int64)
                     crc = [zlib.crc32(np.frombuffer(r.ids(k), "<u2").astype("<u4").tobytes()) for k in range(len(n))]
-                    null = r.docs["doc_id"] == -(2**63)
+                    null = np.arange(len(n)) < row["null_ids"]
                     yield pa.RecordBatch.from_pydict(
                         {"doc_id": pa.array(r.docs["doc_id"].astype(np.int64), pa.int64(), mask=null), "start": row["start"] + np.cumsum(n) - n,
                          "n_tokens": n, "ids_crc32": pa.array(crc, pa.int64()), "file": [row["file"].rsplit("/", 1)[-1]] * len(n)}
                     )
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = files.select("file", "start", "part").repartition(n, "part")
+    spread = files.select("file", "start", "part", "null_ids").repartition(n, "part")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 

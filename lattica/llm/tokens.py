@@ -147,16 +147,16 @@ class WordMemo:
             for sign in {m[2] for m in plain}.difference(self.signs):
                 self.signs[sign] = self._library([sign])[0]
             stems = memo.missing({m[1] for m in plain})
-            memo.young.update(zip(stems, self._running(stems)))
+            memo.young.update(zip(stems, self._running(stems), strict=True))
             known, signs = memo.young, self.signs
             known.update([(m[0], known[m[1]] + signs[m[2]]) for m in plain if m[2]])
             if len(signs) > MEMO_WORDS:
                 signs.clear()
         odd = [w for w in rest if "<|" in w]  # may hold an added token
         if odd:
-            memo.young.update(zip(odd, self._library([lead + w for w in odd])))
+            memo.young.update(zip(odd, self._library([lead + w for w in odd]), strict=True))
             rest = [w for w in rest if "<|" not in w]
-        memo.young.update(zip(rest, self._apart([lead + w for w in rest])))
+        memo.young.update(zip(rest, self._apart([lead + w for w in rest]), strict=bool(rest)))
         if not self.dropped:
             for w in rest + odd:
                 if not w or w[0].isspace() or w[-1].isspace():
