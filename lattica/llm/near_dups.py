@@ -8,9 +8,13 @@ so PERMUTATIONS hash evaluations a shingle give twice as many signature values.
 Classes that agree on a band of values share a bucket. Within a bucket the
 classes whose signatures may belong to linked sets are joined to trees, not
 pairs (`_bucket_trees`); their components over all buckets are groups that hold
-every link. Groups are confirmed on full sets, again as trees. Buckets and groups
-beyond a bound are cut into blocks and every two blocks meet in a task, so that
-no task holds more than two blocks and no candidate is left out.
+every link. Groups are confirmed on full sets, again as trees.
+
+A bucket or group beyond a bound is cut into blocks. First each block is joined
+with a few pivots; members that one tree holds by then are done with each other,
+and only blocks that hold different trees meet (`_linked`). A million copies of
+one page that differ a little are thus compared with the pivots and with the few
+that no pivot reaches, and no candidate is left out.
 """
 
 from __future__ import annotations
@@ -29,16 +33,20 @@ from lattica.session import discard, materialize, table
 
 #: Permutations; each gives a minimum and a maximum.
 PERMUTATIONS = 72
-#: Values in a band. 24 bands of 6: two sets of similarity 0.85 share no band in 1 of 90,000 cases, of 0.9 in 10 million.
-BAND_ROWS = 6
+#: Two sets just at the threshold share no band in fewer cases than this: 1 of 86,000 at 0.85 (24 bands of 6
+#: values), 1 of 66,000 at 0.8 (28 bands of 5), and far fewer above.
+MISSED = 2e-5
 #: Signatures that agree on fewer values than the threshold less this many standard deviations aren't candidates.
 DEVIATIONS = 4.5
 #: Classes in a block of a bucket, and of a group that is confirmed on full sets.
 BUCKET_BLOCK, GROUP_BLOCK = 2048, 512
+#: Classes near others up to which their table is broadcast (a row is 40 bytes).
+BROADCAST_CLASSES = 500_000
+#: Pivots of a bucket or group that is cut into blocks.
+PIVOTS = 8
 BATCH_BYTES = 2 << 20
 SEED = 20_260
 VALUES = 2 * PERMUTATIONS
-BANDS = VALUES // BAND_ROWS
 
 
 class Shingler:
@@ -97,11 +105,16 @@ def _shingler(words: int) -> Shingler:
     return Shingler(words)
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band."""
-    s = signature.reshape(-1, BAND_ROWS)
+def band_rows(threshold: float) -> int:
+    """Values in a band: as many as MISSED allows, so that buckets are small."""
+    return max(r for r in range(1, VALUES + 1) if r == 1 or (1 - threshold**r) ** (VALUES // r) <= MISSED)
+
+
+def bands(signature: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key a band; values that fill no band are left over."""
+    s = signature[: len(signature) // rows * rows].reshape(-1, rows)
     key = np.arange(1, len(s) + 1, dtype=np.uint64)
-    for k in range(BAND_ROWS):
+    for k in range(rows):
         key = (key ^ s[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
     return key
@@ -171,18 +184,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _blocked(members: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
-    """Members with `task` and `side`: one task a key, or one for every two blocks of a large one."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, key).withColumn("blocks", blocks).withColumn("own", own)
-    meet = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = dealt.withColumn("other", F.explode(meet))
-    task = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))
-    # a task of a block with itself has one side; of two blocks two, and leaves pairs within a side to the former
-    return met.select("*", task.alias("task"), F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).alias("side"))
-
-
 def _sides(t: pa.Table) -> np.ndarray | None:
     side = t.column("side").to_numpy()
     return None if (side == 0).all() else side
@@ -192,7 +193,7 @@ def _bytes_column(t: pa.Table, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, width)
 
 
-def sketch(docs: DataFrame, words: int) -> DataFrame:
+def sketch(docs: DataFrame, words: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys and a byte of each signature value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +208,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                 if len(prints):
                     s = shingler.signature(prints)
                     digest.append(xxhash.xxh128_digest(prints.tobytes()))
-                    keys.append(bands(s).view(np.int64))
+                    keys.append(bands(s, rows).view(np.int64))
                     sig.append((s ^ s >> np.uint64(23)).astype(np.uint8).tobytes())
                 else:
                     digest.append(None)
@@ -241,65 +242,149 @@ def _forest(tasks: DataFrame, make: Callable[[pa.Table], tuple[np.ndarray, Trees
     return tasks.repartition(partitions, "task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
+def _linked(members: DataFrame, key: str, block: int, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v) of trees that hold every link between members (cls, weight) of equal `key`.
+
+    `link` finds the trees of tasks (cls, task, side): pairs of different sides
+    are compared, or all pairs of a task whose side is 0. A key of up to `block`
+    members is a task. A larger one is cut into blocks, in two rounds: each block
+    with the key's PIVOTS (those of most weight in as many hash classes), then
+    blocks that hold different trees with each other. A tree of more than a block
+    has blocks of its own, which don't meet; the rest share blocks that meet all.
+    """
+    sizes = materialize(members.groupBy(key).agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    small = members.join(sizes.filter(F.col("size") <= block), key).select("cls", F.xxhash64(key).alias("task"), F.lit(0).alias("side"))
+    large = sizes.filter(F.col("size") > block)
+    if large.isEmpty():
+        return link(small)
+    draw = F.xxhash64(F.lit(SEED), "cls")
+    n_blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = materialize(members.join(large, key), "members")
+    best = held.groupBy(key, F.pmod(draw, F.lit(PIVOTS)).alias("of")).agg(F.max(F.struct("weight", draw.alias("draw"), "cls")).alias("best"))
+    pivots = best.join(large, key).select(key, every(n_blocks("size")).alias("own"), F.col("best.cls").alias("cls"), F.lit(2).alias("side"))
+    dealt = held.select(key, F.pmod(draw, n_blocks("size")).cast("int").alias("own"), "cls", F.lit(1).alias("side"))
+    first = materialize(link(dealt.unionByName(pivots).select("cls", F.xxhash64(F.lit("p"), key, "own").alias("task"), "side")), "first")
+    trees = connected_components(first).select(F.col("node").alias("cls"), F.col("component").alias("tree"))
+    known = materialize(held.join(trees, "cls", "left").select(key, "cls", F.coalesce("tree", "cls").alias("tree")), "known")
+    of_tree = known.groupBy(key, "tree").agg(F.count("*").alias("n"))
+    # units of a key: each tree of more than a block, and (null) what is left
+    unit = F.when(F.col("n") > block, F.col("tree"))
+    units = materialize(of_tree.groupBy(key, unit.alias("unit")).agg(F.sum("n").alias("n"), F.count("*").alias("trees")), "units")
+    units = units.select(key, "unit", n_blocks("n").alias("blocks"), F.when(F.col("unit").isNull(), F.col("trees")).alias("trees"))
+    other = units.select(key, F.col("unit").alias("unit2"), F.col("blocks").alias("blocks2"))
+    same = F.col("unit").eqNullSafe(F.col("unit2"))
+    meet = units.join(other, key).filter(~same | (F.col("trees") > 1)).drop("trees")
+    wide = of_tree.filter(F.col("n") > block).select(key, "tree", F.col("tree").alias("of"))
+    placed = known.join(wide, [key, "tree"], "left").select(key, "cls", F.col("of").alias("of"))
+    here = (placed[key] == meet[key]) & F.col("of").eqNullSafe(F.col("unit"))
+    met = placed.join(meet, here).select(placed[key], "cls", "unit", "unit2", F.pmod(draw, F.col("blocks")).cast("int").alias("own"), every(F.col("blocks2")).alias("own2"))
+    # a unit meets another as the lesser or the greater side; null is the least
+    one, two = F.struct("unit", "own"), F.struct(F.col("unit2").alias("unit"), F.col("own2").alias("own"))
+    low, high = F.when(one <= two, one).otherwise(two), F.when(one <= two, two).otherwise(one)
+    side = F.when(one == two, 0).when(one < two, 1).otherwise(2)
+    second = met.select("cls", F.xxhash64(F.lit("m"), key, low["unit"].isNull(), low["unit"], low["own"], high["unit"].isNull(), high["unit"], high["own"]).alias("task"), side.alias("side"))
+    return link(small).unionByName(first).unionByName(link(second))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
     Rows are linked where the similarity of their sets is at least
     threshold[0] / threshold[1]; component_id is the least doc_id reachable.
     Texts without words (null too) have an empty set and are linked with
-    nothing. Rows that repeat a doc_id share its links. A null doc_id is linked
-    with nothing: component_id null, kept. An empty table gives none; other
-    columns are left behind.
+    nothing. Rows that repeat a doc_id are one document: they share all links
+    of any of them. A null doc_id is linked with nothing: component_id null,
+    kept. An empty table gives none; other columns are left behind.
     """
     spark = docs.sparkSession
     above, below = threshold
     least = least_agreement(above / below)
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    drawn = materialize(sketch(docs, words), "sketch")
+    rows = band_rows(above / below)
+    drawn = materialize(sketch(docs, words, rows), "sketch")
     held = drawn.filter("digest is not null and doc_id is not null")
-    # classes of equal sets: the group-by combines copies before it shuffles
-    classes = materialize(
-        held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes"
-    )
-    # a doc_id that is repeated with another text may lead two classes: both are its own
-    keys = materialize(classes.select("rep", F.explode("bands").alias("band")), "bands")
-    sizes = keys.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = _blocked(keys, "band", sizes, BUCKET_BLOCK).select("rep", "task", "side")
-
-    def bucket_trees(t: pa.Table) -> tuple[np.ndarray, Trees]:
-        return t.column("rep").to_numpy(), _trees(_bytes_column(t, VALUES), least, None, _sides(t))
-
-    candidates = _forest(shared.join(classes.select("rep", "sig"), "rep"), bucket_trees, partitions)
-    groups = connected_components(candidates)
-    group_sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = _blocked(groups.withColumnRenamed("node", "rep"), "component", group_sizes, GROUP_BLOCK).select("rep", "task", "side")
-    texts = members.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
-
-    def confirmed_trees(t: pa.Table) -> tuple[np.ndarray, Trees]:
+    # classes of equal sets: the group-by combines copies before it shuffles. Their numbers hold once they are stored
+    grouped = held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = materialize(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    keys = materialize(classes.select("cls", F.explode("bands").alias("band")), "bands")
+
+    def by_signature(tasks: DataFrame) -> DataFrame:
+        def trees(t: pa.Table) -> tuple[np.ndarray, Trees]:
+            return t.column("cls").to_numpy(), _trees(_bytes_column(t, VALUES), least, None, _sides(t))
+
+        return _forest(tasks.join(classes.select("cls", "sig"), "cls"), trees, partitions)
+
+    groups = connected_components(_linked(keys.withColumn("weight", F.lit(0)), "band", BUCKET_BLOCK, by_signature))
+    groups = groups.select(F.col("node").alias("cls"), "component")
+    # documents of several rows: a text for each of their sets, found by the set
+    ids = held.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    repeated = materialize(ids, "repeated")
+    near = materialize(classes.select("cls", "rep", "digest").join(groups.select("cls"), "cls", "left_semi"), "near")
+    several = not repeated.isEmpty()
+    wanted = F.broadcast(near) if near.count() <= BROADCAST_CLASSES else near
+    singles = docs.join(repeated, "doc_id", "left_anti") if several else docs
+    texts = singles.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("cls", "text")
+    if several:
+        own = materialize(_by_set(docs.join(repeated, "doc_id", "left_semi"), words).groupBy("doc_id", "digest").agg(F.first("text").alias("text")), "several")
+        texts = texts.unionByName(near.join(own.withColumnRenamed("doc_id", "rep"), ["rep", "digest"]).select("cls", "text"))
+    # read by up to three rounds: only texts of classes that are near others
+    texts = materialize(texts, "texts")
+
+    def by_sets(tasks: DataFrame) -> DataFrame:
+        def trees(t: pa.Table) -> tuple[np.ndarray, Trees]:
+            shingler = _shingler(words)
+            sets = [shingler.fingerprints(x) for x in t.column("text").to_pylist()]
+            byte = np.array([(s ^ s >> np.uint64(23)).astype(np.uint8) for s in map(shingler.signature, sets)]).reshape(-1, VALUES)
+
+            def linked(a: int, b: int) -> bool:
+                small, large = sorted((len(sets[a]), len(sets[b])))
+                if below * small < above * large:
+                    return False
+                both = np.concatenate([sets[a], sets[b]])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                return below * common >= above * (len(both) - common)
+
+            return t.column("cls").to_numpy(), _trees(byte, least, linked, _sides(t))
+
+        return _forest(tasks.join(texts, "cls"), trees, partitions)
+
+    # what many buckets hold is near many others: the text that copies were made from rather than a copy
+    shared = keys.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_BLOCK)
+    weights = keys.join(shared, "band").groupBy("cls").agg(F.sum("n").alias("weight"))
+    members = groups.join(weights, "cls", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    edges = _linked(members, "component", GROUP_BLOCK, by_sets)
+    if several:
+        in_class = own.join(classes.select("digest", "cls"), "digest").select("doc_id", "cls")
+        led = in_class.groupBy("doc_id").agg(F.min("cls").alias("u"))
+        edges = edges.unionByName(in_class.join(led, "doc_id").select("u", F.col("cls").alias("v")))
+    links = connected_components(edges)
+    reached = links.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+    lowest = reached.groupBy("component").agg(F.min("rep").alias("least"))
+    least_of = links.join(lowest, "component").select(F.col("node").alias("cls"), "least")
+    of_class = classes.select("digest", "cls", "rep").join(least_of, "cls", "left").select("digest", F.coalesce("least", "rep").alias("least"))
+    out = drawn.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    if several:  # rows without words too have what their document has
+        of_id = own.join(of_class, "digest").groupBy("doc_id").agg(F.min("least").alias("shared"))
+        out = out.join(of_id, "doc_id", "left").withColumn("least", F.coalesce("shared", "least"))
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _by_set(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, digest of the set and text of the rows with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         shingler = _shingler(words)
-        sets = [shingler.fingerprints(x) for x in t.column("text").to_pylist()]
-        some = np.flatnonzero([len(s) for s in sets])  # a repeated id may bring a text without words
-        t, sets = t.take(some), [sets[k] for k in some]
-        byte = np.array([(s ^ s >> np.uint64(23)).astype(np.uint8) for s in map(shingler.signature, sets)]).reshape(-1, VALUES)
-
-        def linked(a: int, b: int) -> bool:
-            small, large = sorted((len(sets[a]), len(sets[b])))
-            if below * small < above * large:
-                return False
-            both = np.concatenate([sets[a], sets[b]])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            return below * common >= above * (len(both) - common)
-
-        return t.column("rep").to_numpy(), _trees(byte, least, linked, _sides(t))
-
-    links = connected_components(_forest(texts, confirmed_trees, partitions))
-    out = (
-        drawn.join(classes.select("digest", "rep"), "digest", "left")
-        .join(links.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
-    )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        for batch in by_bytes(batches, BATCH_BYTES):
+            sets = [shingler.fingerprints(t) for t in batch.column("text").to_pylist()]
+            digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(digests, pa.binary()), batch.column("text").cast(pa.string())], ["doc_id", "digest", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, text string").filter("digest is not null")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
