@@ -320,8 +320,8 @@ def shingle_set(text, n=3):
     return frozenset(zip(*(w[k:] for k in range(n)))) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows, above=85, below=100):
-    sets = [(i, shingle_set(t)) for i, t in rows]
+def brute_components(rows, above=85, below=100, words=3):
+    sets = [(i, shingle_set(t, words)) for i, t in rows]
     of = {i: i for i, _ in sets if i is not None}
     changed = True
     links = [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a and b and i is not None and j is not None and below * len(a & b) >= above * len(a | b)]
@@ -435,6 +435,27 @@ def test_mixing_reaches_targets(spark):
     assert {r["source"] for r in many} == {"b"} and counts.sum() == pytest.approx(6000, rel=0.06)
 
 
+def test_mixing_without_ids_is_the_sql(spark, tmp_path, monkeypatch):
+    """Null, repeated and unique ids, equal rows and null sources: as the SQL says, near the rate, over all partitions."""
+    import duckdb
+
+    from lattica.llm import rows as rows_
+
+    monkeypatch.setattr(rows_, "REPEAT_BLOCK", 700)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 and k < 300 else k, None if k % 5 == 0 else "same" if k % 2 else f"text é {k}", "en", "ab"[k % 2] if k % 7 else None, None if k % 3 == 0 else 4) for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op9_source_mixing(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute("SELECT doc_id, source, copy, n_bytes, shuffle_key FROM (" + mixing.OP9_SQL + ")").fetchall()
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["source"], r["copy"], r["n_bytes"], r["shuffle_key"])) for r in got)
+    mixed = mixing.mix(docs.withColumn("source", docs["lang"]))
+    assert mixed.filter("doc_id is null").count() == pytest.approx(3000, rel=0.1)
+    spread = [r["count"] for r in mixed.filter("doc_id is null").selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
+    assert len(spread) == 4 and min(spread) > 0.5 * max(spread)
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 
@@ -470,3 +491,41 @@ def test_language_held_out(spark):
     out = language.op10_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
     right = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right > 0.95
+
+
+def test_language_pieces_and_memory(monkeypatch):
+    """Counts don't depend on how a text is cut, nor sums on how texts are; short texts in a large alphabet stay small."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab é1 .ßǅ\U0001d49cx") for _ in range(n)) for n in (0, 1, 2, 3, 50, 400)]
+    g = language.Trigrams(32, 1)
+    counts, sums = [g.counts(t) for t in texts], g.bundles(texts)
+    monkeypatch.setattr(language, "PIECE_CHARS", 3)
+    monkeypatch.setattr(language, "BOUND_TRIGRAMS", 5)
+    monkeypatch.setattr(language, "COUNT_CELLS", 20)
+    for t, (k, n) in zip(texts, counts):
+        keys, times = g.counts(t)
+        assert keys.tolist() == k.tolist() and times.tolist() == n.tolist()
+    assert (g.bundles(texts) == sums).all()
+    monkeypatch.undo()
+    han = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(17)) for _ in range(10_000)]
+    g = language.Trigrams()
+    tracemalloc.start()
+    g.bundles(han)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+
+
+def test_shards_scatter_equal_rows(spark):
+    docs = spark.createDataFrame([(5, "same row")] * 3000 + [(None, "same row")] * 3000 + [(None, None)] * 2000, "doc_id long, text string")
+    out = shards.shuffle_shards(docs, scratch(spark, "t"), bucket_bytes=4000).groupBy("doc_id", "text", "bucket").count().collect()
+    for key in {(r["doc_id"], r["text"]) for r in out}:
+        n = [r["count"] for r in out if (r["doc_id"], r["text"]) == key]
+        assert sum(n) in (3000, 2000) and max(n) < 3 * sum(n) / len(n) and len(n) > 10
+
+
+def test_archive_keeps_the_least_id(spark):
+    docs = spark.createDataFrame([(-(2**63), "a"), (None, "b"), (3, None)], "doc_id long, text string")
+    folder = scratch(spark, "t")
+    out = archive.read_archives(archive.write_archives(docs, folder, tokens.tokenizer_path("word_bpe_49k.json")), folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [None, -(2**63), 3]

@@ -30,7 +30,7 @@ def test_run_is_the_plain_version(spark):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     best = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs).collect()}
     rows = [r for r in rows if best[r[0]][0] != "und" and best[r[0]][1] >= P.LEAST_SCORE]
-    of = brute_components([r[:2] for r in rows])
+    of = brute_components([r[:2] for r in rows], 80, 100, 5)
     rows = [r for r in rows if of[r[0]] == r[0]]
     left = spark.createDataFrame(rows, "doc_id long, text string, source string")
     copies = {}
@@ -45,3 +45,22 @@ def test_run_is_the_plain_version(spark):
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert got == want
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(want.values()) // 2048) + 3
+
+
+def test_packing_on_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, "x", 1) for r in ODD] * 2, SCHEMA + ", length string, offset int")
+    out = P.packing(spark, docs, "").collect()
+    tok = tokens.load_tokenizer(tokens.tokenizer_path("byte_bpe_50k.json"))
+    assert sum(r["length"] for r in out) == 2 * sum(len(tok.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in ODD)
+    assert P.packing(spark, docs.limit(0), "").count() == 0
+
+
+def test_null_and_repeated_ids_stay_apart(spark):
+    """Rows without an id are judged each on its own by every stage."""
+    words = lambda k: " ".join(f"the weather of day {k} was {w} again" for w in ("fair", "wet", "cold", "mild"))
+    rows = [(None, words(k) if k % 2 else "123 ?!", "en", "a") for k in range(2000)] + [(7, "456", "en", "a"), (7, words("seven"), "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = P.language_id(spark, docs, "")
+    assert kept.filter("doc_id is null").count() == 1000 and kept.filter("doc_id = 7").count() == 1
+    assert P.near_dups(spark, kept, "").filter("doc_id is null").count() == 1000
+    assert P.mixing(spark, kept, "").filter("doc_id is null").count() == pytest.approx(1000, rel=0.15)
