@@ -38,8 +38,8 @@ PERMUTATIONS = 72
 MISSED = 2e-5
 #: Signatures that agree on fewer values than the threshold less this many standard deviations aren't candidates.
 DEVIATIONS = 4.5
-#: Classes in a block of a bucket, and of a group that is confirmed on full sets.
-BUCKET_BLOCK, GROUP_BLOCK = 2048, 512
+#: Classes in a block of a bucket (signatures: 1.2 MB), and of a group that is confirmed on full sets (texts).
+BUCKET_BLOCK, GROUP_BLOCK = 8192, 512
 #: Classes near others up to which their table is broadcast (a row is 40 bytes).
 BROADCAST_CLASSES = 500_000
 #: Pivots of a bucket or group that is cut into blocks.
