@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import degrees, remove_edges, split_budget, support
-from lattica.operators.orbits import GROUPS, ORBITS, PAIRS, gdv_long, graphlets, mask_table, standardization, standardized
+from lattica.operators.orbits import GROUPS, ORBITS, PAIRS, gdv_closed, mask_table, standardization, standardized, to_long
 from lattica.session import discard, materialize
 
 DESTROYED = ORBITS
@@ -87,13 +87,29 @@ def ranked_candidates(nodes: DataFrame, edges: DataFrame, scores: DataFrame, d_m
     return scores.join(ok, ["u", "v"]).join(support(edges), ["u", "v"]).select("u", "v", "score", "degree", "support")
 
 
+def best_edge(ranked: DataFrame) -> DataFrame:
+    """The first of `ranked_candidates` in selection's order, or no row: partial minima, then one."""
+    key = ("score", "degree", "support", "u", "v")
+    return ranked.agg(F.min(F.struct(*key)).alias("b")).filter("b is not null").select(*[F.col(f"b.{c}") for c in ("u", "v", "score", "degree", "support")])
+
+
+def resolve_engine(requested: str, budgets: list[int]) -> str:
+    """`sequential` or `batch` for the budgets of rounds; a sequential engine takes one edge a round at most."""
+    if requested not in ("auto", "sequential", "batch"):
+        raise ValueError(f"unknown engine {requested!r}")
+    single = all(b <= 1 for b in budgets)
+    if requested == "sequential" and not single:
+        raise ValueError("a sequential engine takes one edge a round")
+    return requested if requested != "auto" else "sequential" if single else "batch"
+
+
 def batch_prune(nodes: DataFrame, edges: DataFrame, rho: float, rounds: int, mode: str = "relative", d_min: int = 2, guard_bridges: bool = False, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Kept and removed edges (removed: round, u, v, score) after `rounds` rounds of batch pruning.
 
     Guards hold at the start of a round only, so a round's deletions together
     may go below d_min. A round without eligible edges is skipped and its
-    budget isn't given to others. Graphlets are enumerated once: deletions clear
-    bits, and what isn't connected any more drops out.
+    budget isn't given to others. Each round counts its graph anew in closed
+    form; nothing is enumerated.
     """
     return batch_rounds(nodes, edges, rho, rounds, mode, d_min, guard_bridges, weights)[:2]
 
@@ -102,27 +118,26 @@ def batch_rounds(nodes: DataFrame, edges: DataFrame, rho: float, rounds: int, mo
     """What `batch_prune` gives, and a record of each round: round, requested, active_before, eligible, blocked_by_bridge, blocked_by_d_min, selected, remaining."""
     from lattica.operators.graph import bridges
 
+    from lattica.operators.edge_masks import endpoint_delta, mask_histogram
+
     spark = edges.sparkSession
     left = materialize(edges.select("u", "v"), "edges")
-    found = materialize(graphlets(left), "graphlets")
-    stats = materialize(standardization(gdv_long(nodes, found)), "stats")
+    counted = lambda: materialize(to_long(gdv_closed(nodes, left)), "gdv")
+    long = counted()
+    stats = materialize(standardization(long), "stats")
     removed: list[DataFrame] = []
     records: list[tuple[int, ...]] = []
     for number, budget in enumerate(split_budget(round(left.count() * rho), rounds), 1):
         if not budget:
             continue
-        delta = raw_delta(transitions(found), endpoints_only=True)
-        scores = edge_scores(left, gdv_long(nodes, found), stats, delta, mode, weights=weights)
+        scores = edge_scores(left, long, stats, endpoint_delta(mask_histogram(nodes, left)), mode, weights=weights)
         barred = materialize(bridges(left).select("u", "v"), "bridges") if guard_bridges else None
         reasons = {r["reason"]: r["n"] for r in guard_reasons(nodes, left, d_min, barred).groupBy("reason").agg(F.count("*").alias("n")).collect()}
         ranked = ranked_candidates(nodes, left, scores, d_min, barred)
         gone = materialize(ranked.orderBy("score", "degree", "support", "u", "v").limit(budget).select(F.lit(number).alias("round"), "u", "v", "score"), "removed")
         removed.append(gone)
-        slots = F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.get("n", F.lit(a)).alias("u"), F.get("n", F.lit(b)).alias("v")) for k, (a, b) in enumerate(PAIRS)])
-        cut = found.select("n", F.explode(slots).alias("s")).select("n", "s.*").join(gone.select("u", "v"), ["u", "v"]).groupBy("n").agg(F.sum("bit").cast("int").alias("gone"))
-        masked = found.join(cut, "n", "left").select("size", "n", F.expr("mask & ~coalesce(gone, 0)").alias("mask"))
-        last, found = found, materialize(masked.join(F.broadcast(mask_table(spark).select("size", "mask").distinct()), ["size", "mask"], "left_semi").select("size", "n", "mask"), "graphlets")
         before, left = left, materialize(remove_edges(left, gone), "edges")
+        last, long = long, counted()
         active, chosen = sum(reasons.values()), gone.count()
         records.append((number, budget, active, reasons.get("eligible", 0), reasons.get("bridge_guard", 0), reasons.get("d_min_guard", 0), chosen, active - chosen))
         discard(spark, last, before)

@@ -83,11 +83,11 @@ def pairwise_summary(seed_means: DataFrame, keys: Sequence[str], metric: str) ->
 
 
 def runtime_ratios(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
-    """Mean runtimes by method, differences and ratios to the first; only groups with every method; a ratio to 0 is null."""
+    """Mean runtimes by method, the first's difference from and ratio to each other; only groups with every method; a ratio to 0 is null."""
     out = df.groupBy(*keys).agg(*[F.avg(F.when(F.col("method") == m, F.col(metric))).alias(m) for m in METHODS])
     out = out.dropna(subset=list(METHODS))
     for m in METHODS[1:]:
-        out = out.withColumn(f"delta_{m}", F.col(m) - F.col(METHODS[0])).withColumn(f"ratio_{m}", F.expr(f"try_divide({m}, {METHODS[0]})"))
+        out = out.withColumn(f"delta_{m}", F.col(METHODS[0]) - F.col(m)).withColumn(f"ratio_{m}", F.expr(f"try_divide({METHODS[0]}, {m})"))
     return out
 
 
@@ -128,9 +128,9 @@ def loglog_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def coefficient_stability(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Mean, population deviation, median, share of nonzeros and their sign consistency."""
+    """Mean, population deviation, median, share of nonzeros (beyond 1e-12) and their sign consistency."""
     c = F.col(value)
-    pos, neg, non = (F.count(F.when(x, 1)) for x in (c > 0, c < 0, c != 0))
+    pos, neg, non = (F.count(F.when(x, 1)) for x in (c > 1e-12, c < -1e-12, F.abs(c) > 1e-12))
     return df.groupBy(*keys).agg(
         F.count("*").alias("folds"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.median(c).alias("median"), (non / F.count("*")).alias("nonzero_fraction"),
         F.when(non > 0, F.greatest(pos, neg) / non).otherwise(0.0).alias("sign_consistency"),
@@ -164,15 +164,37 @@ def folds(df: DataFrame, artifact: str, n: int) -> DataFrame:
     return ids.select(artifact, ((F.row_number().over(W.orderBy(artifact)) - 1) % n).alias("fold"))
 
 
-def held_out_splits(df: DataFrame, by: str, artifact: str, folds_of: DataFrame) -> DataFrame:
-    """value, fold, role, rows: test rows have the value and the fold's artifacts, train rows neither."""
-    j = df.join(folds_of, artifact)
-    values = df.select(F.col(by).alias("value")).distinct()
-    numbers = folds_of.select(F.col("fold").alias("held")).distinct()
-    role = F.when((F.col(by) == F.col("value")) & (F.col("fold") == F.col("held")), "test").when((F.col(by) != F.col("value")) & (F.col("fold") != F.col("held")), "train")
-    counts = j.groupBy(by, "fold").agg(F.count("*").alias("n"))  # rows meet the few splits as counts
-    cross = counts.crossJoin(F.broadcast(values)).crossJoin(F.broadcast(numbers)).withColumn("role", role).filter("role is not null")
-    return cross.groupBy("value", F.col("held").alias("fold"), "role").agg(F.sum("n").alias("rows"))
+def held_out_splits(df: DataFrame, by: str, artifact: str, n: int) -> DataFrame:
+    """value, fold, role, rows: each value's own artifacts, sorted, are dealt in turn to n folds (as many as it has, if fewer).
+
+    Test rows have the value and one of the fold's artifacts; train rows have
+    another value and none of the fold's artifacts.
+    """
+    counts = df.groupBy(F.col(by).alias("of"), F.col(artifact).alias("artifact")).agg(F.count("*").alias("rows"))  # rows meet splits as counts
+    own = counts.select(F.col("of").alias("value"), "artifact")
+    place = F.row_number().over(W.partitionBy("value").orderBy("artifact")) - 1
+    held = own.withColumn("fold", (place % F.least(F.lit(n), F.count("*").over(W.partitionBy("value")))).cast("int"))
+    test = held.join(counts.withColumnRenamed("of", "value"), ["value", "artifact"]).groupBy("value", "fold").agg(F.sum("rows").alias("rows"))
+    splits = held.select("value", "fold").distinct()
+    other = counts.groupBy("of").agg(F.sum("rows").alias("all"))
+    rest = splits.join(F.broadcast(other), F.col("of") != F.col("value")).groupBy("value", "fold").agg(F.sum("all").alias("all"))
+    shared = held.join(counts, "artifact").filter("of <> value").groupBy("value", "fold").agg(F.sum("rows").alias("shared"))
+    train = rest.join(shared, ["value", "fold"], "left").select("value", "fold", (F.col("all") - F.coalesce("shared", F.lit(0))).alias("rows"))
+    out = test.withColumn("role", F.lit("test")).unionByName(train.withColumn("role", F.lit("train")))
+    return out.filter("rows > 0").select("value", "fold", "role", "rows")
+
+
+def validated_left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """A left join of many to one; a key that stands twice on the right is an error when the result is read."""
+    n = F.col("__n")
+    once = F.when(n > 1, F.raise_error(F.lit("a key of the right side isn't unique")).cast("long")).otherwise(n)
+    counted = right.groupBy(*on).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in right.columns if c not in on])
+    return left.join(counted.withColumn("__n", once), list(on), "left").filter("__n is null or __n = 1").drop("__n")
+
+
+def none_safe_order(numbers: Sequence[str] = (), texts: Sequence[str] = ()) -> list[Column]:
+    """Sort keys in which a null number counts as -1 and a null text as empty."""
+    return [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in numbers] + [F.coalesce(F.col(c), F.lit("")) for c in texts]
 
 
 def checkpoint_targets(edges: int, target: float, requested: Sequence[float]) -> list[tuple[int, list[float]]]:

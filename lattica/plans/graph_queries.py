@@ -10,6 +10,7 @@ from lattica.operators import orbits as O
 from lattica.operators import scoring as S
 from lattica.operators import selectors as B
 from lattica.operators.components import connected_components
+from lattica.operators.edge_masks import endpoint_delta, mask_histogram
 from lattica.session import materialize, table
 from lattica.sources.graphs import QUANTITY, load_graph, ring, star
 
@@ -113,7 +114,12 @@ def P05_remove_edges(spark, sf_dir):
     return G.remove_edges(edges, edges.filter("(u + v) % 5 = 0").select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-@query(f"WITH {_G} SELECT orbit, size, edges, multiplicity, role_degree FROM (VALUES {', '.join(str(r) for r in O.registry())}) t(orbit, size, edges, multiplicity, role_degree)")
+#: The 15 orbits as published: (orbit, size, edges, nodes of the orbit in its graphlet, their degree in it).
+_ORBITS = """(0, 2, 1, 2, 1), (1, 3, 2, 2, 1), (2, 3, 2, 1, 2), (3, 3, 3, 3, 2), (4, 4, 3, 2, 1), (5, 4, 3, 2, 2), (6, 4, 3, 3, 1), (7, 4, 3, 1, 3),
+(8, 4, 4, 4, 2), (9, 4, 4, 1, 1), (10, 4, 4, 2, 2), (11, 4, 4, 1, 3), (12, 4, 5, 2, 2), (13, 4, 5, 2, 3), (14, 4, 6, 4, 3)"""
+
+
+@query(f"SELECT orbit, size, edges, multiplicity, role_degree FROM (VALUES {_ORBITS}) t(orbit, size, edges, multiplicity, role_degree)")
 def P11_orbit_registry(spark, sf_dir):
     return spark.createDataFrame(O.registry(), "orbit int, size int, edges int, multiplicity int, role_degree int")
 
@@ -239,7 +245,17 @@ def gdv_closed(spark, sf_dir):
     return O.gdv_closed(*_gp(spark, sf_dir))
 
 
-@query(f"SELECT size, mask, place, orbit FROM (VALUES {_MASKS}) t(size, mask, place, orbit)")
+#: Every graph on 2 to 4 places by its bits; a place's orbit follows from the degrees.
+_MASK_RULE = """WITH pr(i, j, bit) AS (VALUES (0, 1, 1), (0, 2, 2), (0, 3, 4), (1, 2, 8), (1, 3, 16), (2, 3, 32)),
+a AS (SELECT s.size::INT AS size, m.mask::INT AS mask, p.place::INT AS place, (SELECT count(*) FROM pr WHERE (m.mask & bit) <> 0 AND (i = p.place OR j = p.place)) AS d
+  FROM range(2, 5) s(size), range(1, 64) m(mask), range(0, 4) p(place) WHERE p.place < s.size AND NOT EXISTS (SELECT 1 FROM pr WHERE (m.mask & bit) <> 0 AND j >= s.size)),
+g AS (SELECT size, mask, min(d) AS low, max(d) AS high, sum(d) // 2 AS edges FROM a GROUP BY ALL)
+SELECT size, mask, place, (CASE WHEN size = 2 THEN 0 WHEN size = 3 AND edges = 2 THEN d WHEN size = 3 THEN 3 WHEN edges = 3 AND high = 3 THEN CASE d WHEN 1 THEN 6 ELSE 7 END
+  WHEN edges = 3 THEN 3 + d WHEN edges = 4 AND high = 2 THEN 8 WHEN edges = 4 THEN 8 + d WHEN edges = 5 THEN 10 + d ELSE 14 END)::INT AS orbit
+FROM a JOIN g USING (size, mask) WHERE low > 0 AND edges >= size - 1"""
+
+
+@query(_MASK_RULE)
 def O06_mask_table(spark, sf_dir):
     return O.mask_table(spark)
 
@@ -272,7 +288,7 @@ def O09_edge_delta(spark, sf_dir):
 
 @query(f"WITH {_G}{_GRAPHLETS}{_MOVES} SELECT u, v, node, orbit, delta FROM de WHERE node IN (u, v)")
 def O10_edge_endpoint_delta(spark, sf_dir):
-    return S.raw_delta(_moves(spark, sf_dir)[3], endpoints_only=True)
+    return endpoint_delta(mask_histogram(*_gp(spark, sf_dir)))
 
 
 @query(f"WITH {_G}{_GRAPHLETS}{_MOVES} SELECT u, v, src, dst, count(*) AS n FROM mv GROUP BY ALL")
@@ -298,9 +314,11 @@ def O15_event_invariants(spark, sf_dir):
 
 
 def _scores(spark, sf_dir, mode, weights=None):
-    nodes, edges, found, moves = _moves(spark, sf_dir)
-    long = materialize(O.gdv_long(nodes, found), "gdv")
-    return nodes, edges, S.edge_scores(edges, long, O.standardization(long), S.raw_delta(moves, endpoints_only=True), mode, weights=weights)
+    nodes, edges = _gp(spark, sf_dir)
+    edges = materialize(edges, "edges")
+    long = materialize(O.to_long(O.gdv_closed(nodes, edges)), "gdv")
+    delta = endpoint_delta(mask_histogram(nodes, edges))
+    return nodes, edges, materialize(S.edge_scores(edges, long, O.standardization(long), delta, mode, weights=weights), "scores")
 
 
 _SCORED = "u, v, round({0}, 6) AS score, round(mean_abs, 6) AS mean_abs, round(mean_rel, 6) AS mean_rel, round(mean_denom, 6) AS mean_denom, round(min_denom, 6) AS min_denom"
@@ -542,12 +560,6 @@ def A12_cumulative_events(spark, sf_dir):
     return cumulative_events(S.transition_matrix(moves), order)
 
 
-@query(f"WITH {_G} SELECT 'u' || u AS source, 'v' || v AS target, 1 - 0 AS weight FROM e WHERE u < 50")
-def P07_replace_edges(spark, sf_dir):
-    edges = _gp(spark, sf_dir)[1].filter("u < 50")
-    return edges.select(F.concat(F.lit("u"), F.col("u").cast("string")).alias("source"), F.concat(F.lit("v"), F.col("v").cast("string")).alias("target"), F.lit(1).alias("weight"))
-
-
 _SPLIT = "CASE p_partkey % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"
 
 
@@ -575,18 +587,14 @@ def O07_relevant_subsets(spark, sf_dir):
 
 
 @query(f"WITH {_G}{_GRAPHLETS}{_MOVES} SELECT u, v, node, orbit, delta FROM de WHERE node IN (u, v)")
-def O08_endpoint_delta_closed(spark, sf_dir):
-    """The deltas of O10 from counts of shapes, without enumerating graphlets."""
-    from lattica.operators.edge_masks import endpoint_delta, mask_histogram
-
-    return endpoint_delta(mask_histogram(*_gp(spark, sf_dir)))
+def O10_endpoint_delta_enumerated(spark, sf_dir):
+    """The deltas of O10 from the table of graphlets."""
+    return S.raw_delta(_moves(spark, sf_dir)[3], endpoints_only=True)
 
 
 @query(f"WITH {_G}{_GRAPHLETS}, hi AS (SELECT g.n[pr.i] AS u, g.n[pr.j] AS v, g.size, bit_count(g.mask) AS edges FROM g JOIN pr ON (g.mask & pr.bit) <> 0) SELECT u, v, size, edges::INT AS edges, count(*) AS n FROM hi GROUP BY ALL")
 def O08_shapes_by_edge(spark, sf_dir):
     """Graphlets that hold an edge by their size and number of edges, counted in closed form."""
-    from lattica.operators.edge_masks import mask_histogram
-
     h = mask_histogram(*_gp(spark, sf_dir))
     return h.groupBy("u", "v", "size", F.bit_count("mask").alias("edges")).agg(F.sum("n").alias("n"))
 
@@ -594,8 +602,6 @@ def O08_shapes_by_edge(spark, sf_dir):
 @query(f"WITH {_G}{_GRAPHLETS}{_score_sql()} SELECT {_SCORED.format('mean_rel')} FROM sc")
 def R05_edge_scores_closed(spark, sf_dir):
     """All edges' scores from closed forms alone: the scoring that hubs don't break."""
-    from lattica.operators.edge_masks import endpoint_delta, mask_histogram
-
     nodes, edges = _gp(spark, sf_dir)
     long = materialize(_long(spark, sf_dir), "gdv")
     return r6(S.edge_scores(edges, long, O.standardization(long), endpoint_delta(mask_histogram(nodes, edges)), "relative"))
@@ -619,9 +625,9 @@ def L06_edge_set_algebra(spark, sf_dir):
     return n(x.intersect(y), "both").unionByName(n(x.subtract(y), "first")).unionByName(n(x.union(y).distinct(), "either"))
 
 
-@query(f"WITH {_G}{_SUP} SELECT min(e.u * 100000 + e.v) AS least, count(*) AS edges FROM e JOIN sup USING (u, v) WHERE support = (SELECT max(support) FROM sup)")
+@query(f"WITH {_G}{_GRAPHLETS}{_score_sql()}{_GUARD}{_SUP} SELECT u, v, round(mean_rel, 6) AS score, degree, support::BIGINT AS support FROM sc JOIN gu USING (u, v) JOIN sup USING (u, v) WHERE reason = 'eligible' ORDER BY mean_rel, degree, support, u, v LIMIT 1")
 def R08_best_edge(spark, sf_dir):
-    """The best key by one reduction: greatest support, then least edge."""
-    s = G.support(_gp(spark, sf_dir)[1])
-    best = s.groupBy("support").agg(F.min(F.col("u") * 100000 + F.col("v")).alias("least"), F.count("*").alias("edges"))
-    return best.agg(F.max_by(F.struct("least", "edges"), "support").alias("b")).select("b.least", "b.edges")
+    """The round's best eligible edge by one reduction, without a sort."""
+    nodes, edges, scores = _scores(spark, sf_dir, "relative")
+    return r6(S.best_edge(S.ranked_candidates(nodes, edges, scores, 2)))
+

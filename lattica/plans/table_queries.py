@@ -133,7 +133,7 @@ def A06_runtime_rollup(spark, sf_dir):
     return r6(T.rollup(master(spark, sf_dir), ["dataset", "method"], ["train_sec", "accuracy"]))
 
 
-@query(f"WITH {_MASTER}, q AS (SELECT dataset, model, avg(train_sec) FILTER (method = 'orbit_shift') AS a, avg(train_sec) FILTER (method = 'dspar') AS d, avg(train_sec) FILTER (method = 'lsp') AS l FROM ma GROUP BY ALL) SELECT dataset, model, round(a, 6) AS orbit_shift, round(d, 6) AS dspar, round(l, 6) AS lsp, round(d - a, 6) + 0.0 AS delta_dspar, round(d / nullif(a, 0), 6) AS ratio_dspar, round(l - a, 6) + 0.0 AS delta_lsp, round(l / nullif(a, 0), 6) AS ratio_lsp FROM q WHERE a IS NOT NULL AND d IS NOT NULL AND l IS NOT NULL")
+@query(f"WITH {_MASTER}, q AS (SELECT dataset, model, avg(train_sec) FILTER (method = 'orbit_shift') AS a, avg(train_sec) FILTER (method = 'dspar') AS d, avg(train_sec) FILTER (method = 'lsp') AS l FROM ma GROUP BY ALL) SELECT dataset, model, round(a, 6) AS orbit_shift, round(d, 6) AS dspar, round(l, 6) AS lsp, round(a - d, 6) + 0.0 AS delta_dspar, round(a / nullif(d, 0), 6) AS ratio_dspar, round(a - l, 6) + 0.0 AS delta_lsp, round(a / nullif(l, 0), 6) AS ratio_lsp FROM q WHERE a IS NOT NULL AND d IS NOT NULL AND l IS NOT NULL")
 def A07_runtime_pairwise(spark, sf_dir):
     return r6(T.runtime_ratios(master(spark, sf_dir), ["dataset", "model"], "train_sec"))
 
@@ -157,10 +157,11 @@ def N04_artifact_folds(spark, sf_dir):
     return T.folds(master(spark, sf_dir), "artifact", 4)
 
 
-@query(f"WITH {_MASTER}{_FOLDS}, x AS (SELECT v.model AS value, h.fold, CASE WHEN ma.model = v.model AND fo.fold = h.fold THEN 'test' WHEN ma.model <> v.model AND fo.fold <> h.fold THEN 'train' END AS role FROM ma JOIN fo USING (artifact), (SELECT DISTINCT model FROM ma) v, (SELECT DISTINCT fold FROM fo) h) SELECT value, fold, role, count(*) AS rows FROM x WHERE role IS NOT NULL GROUP BY ALL")
+@query(f"""WITH {_MASTER}, c AS (SELECT DISTINCT model, artifact FROM ma), h AS (SELECT model AS value, artifact, ((row_number() OVER (PARTITION BY model ORDER BY artifact) - 1) % least(4, count(*) OVER (PARTITION BY model)))::INT AS fold FROM c),
+s AS (SELECT DISTINCT value, fold FROM h), x AS (SELECT s.value, s.fold, CASE WHEN ma.model = s.value AND h.artifact IS NOT NULL THEN 'test' WHEN ma.model <> s.value AND h.artifact IS NULL THEN 'train' END AS role
+FROM s CROSS JOIN ma LEFT JOIN h ON h.value = s.value AND h.fold = s.fold AND h.artifact = ma.artifact) SELECT value, fold, role, count(*) AS rows FROM x WHERE role IS NOT NULL GROUP BY ALL""")
 def M05_outer_splits(spark, sf_dir):
-    m = master(spark, sf_dir)
-    return T.held_out_splits(m, "model", "artifact", T.folds(m, "artifact", 4))
+    return T.held_out_splits(master(spark, sf_dir), "model", "artifact", 4)
 
 
 @query(f"WITH {_MASTER}, r AS (SELECT run, model, sum(round(train_sec * 1000000)::BIGINT) OVER (PARTITION BY model ORDER BY run ROWS UNBOUNDED PRECEDING)::BIGINT AS micros FROM ma) SELECT run, model, micros FROM r")
@@ -179,7 +180,7 @@ def N07_first_per_group(spark, sf_dir):
     return master(spark, sf_dir).groupBy("dataset", "model").agg(F.min("run").alias("run"), F.min_by("accuracy", "run").alias("accuracy"))
 
 
-@query(f"WITH {_MASTER}, x AS (SELECT dataset, model, method, seed, accuracy - 0.5 AS c FROM ma) SELECT dataset, method, count(*) AS folds, round(avg(c), 6) + 0.0 AS mean, round(stddev_pop(c), 6) AS std, round(median(c), 6) + 0.0 AS median, round(count(*) FILTER (c <> 0) / count(*), 6) AS nonzero_fraction, round(greatest(count(*) FILTER (c > 0), count(*) FILTER (c < 0)) / count(*) FILTER (c <> 0), 6) AS sign_consistency FROM x GROUP BY ALL")
+@query(f"WITH {_MASTER}, x AS (SELECT dataset, model, method, seed, accuracy - 0.5 AS c FROM ma) SELECT dataset, method, count(*) AS folds, round(avg(c), 6) + 0.0 AS mean, round(stddev_pop(c), 6) AS std, round(median(c), 6) + 0.0 AS median, round(count(*) FILTER (abs(c) > 1e-12) / count(*), 6) AS nonzero_fraction, round(greatest(count(*) FILTER (c > 1e-12), count(*) FILTER (c < -1e-12)) / count(*) FILTER (abs(c) > 1e-12), 6) AS sign_consistency FROM x GROUP BY ALL")
 def A13_coefficient_stability(spark, sf_dir):
     return r6(T.coefficient_stability(master(spark, sf_dir).withColumn("c", F.col("accuracy") - 0.5), ["dataset", "method"], "c"))
 
@@ -262,11 +263,16 @@ def L08_split_overlap(spark, sf_dir):
     return m.filter("model = 'gcn'").select("artifact").intersect(m.filter("model = 'sage' and seed = 0").select("artifact"))
 
 
-@query("SELECT v.v AS variant, k.k::INT AS k, s.s / 20.0::DOUBLE AS sparsity FROM (VALUES ('lsp_p'), ('lsp_t')) v(v), range(1, 7) k(k), range(1, 20) s(s)")
+@query("""WITH p AS (SELECT k.k::INT AS k, s.s / 20.0::DOUBLE AS sparsity FROM (VALUES (1), (2), (3), (5), (7), (9)) k(k), range(1, 20) s(s))
+SELECT 'lsp_p' AS variant, k, sparsity, t.t::DOUBLE AS step FROM p, (VALUES (0.125), (0.25), (0.5), (1.0), (2.0), (4.0)) t(t) UNION ALL SELECT 'lsp_t', k, sparsity, NULL FROM p""")
 def J13_parameter_grid(spark, sf_dir):
-    v = spark.createDataFrame([("lsp_p",), ("lsp_t",)], "variant string")
-    k = spark.range(1, 7).select(F.col("id").cast("int").alias("k"))
-    return v.crossJoin(k).crossJoin(spark.range(1, 20).select((F.col("id") / F.lit(20.0)).alias("sparsity")))
+    """The 798 points of the coarse sweep: the projection variant has a step, the threshold variant none."""
+    from lattica.plans.pipelines import LSP_KS, LSP_SPARSITIES, LSP_STEPS
+
+    one = lambda values, name, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+    points = one(LSP_KS, "k", "int").crossJoin(one([round(x, 2) for x in LSP_SPARSITIES], "sparsity", "double"))
+    p = points.crossJoin(one(LSP_STEPS, "step", "double")).withColumn("variant", F.lit("lsp_p"))
+    return p.unionByName(points.withColumns({"step": F.lit(None).cast("double"), "variant": F.lit("lsp_t")})).select("variant", "k", "sparsity", "step")
 
 
 @query("SELECT event_id, ('{' || '\"k\":' || json_extract_string(props, '$.k') || '}') AS packed, json_extract_string(props, '$.k')::INT AS k FROM events")
@@ -362,12 +368,6 @@ def J12_three_way_match(spark, sf_dir):
     return r6(grid.crossJoin(t).select("dataset", "target", "model", "seed", *T.METHODS))
 
 
-@query(f"WITH {_MASTER} SELECT dataset, model, method, seed, run, accuracy FROM ma ORDER BY dataset, method, run LIMIT 500")
-def C10_master_results(spark, sf_dir):
-    """The first page of the sorted master table."""
-    return master(spark, sf_dir).select("dataset", "model", "method", "seed", "run", "accuracy").orderBy("dataset", "method", "run").limit(500)
-
-
 @query(f"WITH {_MASTER} SELECT dataset, model, method, seed, run, accuracy, macro_f1, train_sec, artifact FROM ma ORDER BY dataset, model, method, run")
 def C10_master_table(spark, sf_dir):
     """The whole sorted master table."""
