@@ -48,6 +48,13 @@ def transition_summary(matrix: DataFrame) -> DataFrame:
     return out.join(into, ["u", "v", "orbit"], "full_outer").select("u", "v", "orbit", z("loss").alias("loss"), z("gain").alias("gain"), (z("gain") - z("loss")).alias("net"))
 
 
+def event_faults(matrix: DataFrame, delta: DataFrame) -> DataFrame:
+    """u, v of edges whose matrix of moves (u, v, src, dst, n) gives an orbit another net change than `delta` (u, v, orbit, delta) has."""
+    net = transition_summary(matrix).select("u", "v", "orbit", "net").filter("net <> 0")
+    both = net.join(delta.filter("delta <> 0"), ["u", "v", "orbit"], "full_outer")
+    return both.filter("not (net <=> delta)").select("u", "v").distinct()
+
+
 def edge_scores(edges: DataFrame, long: DataFrame, stats: DataFrame, delta: DataFrame, mode: str = "relative", eps: float = 1e-8, weights: DataFrame | None = None) -> DataFrame:
     """u, v, score, mean_abs, mean_rel, mean_denom, min_denom of each edge.
 
