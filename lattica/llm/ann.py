@@ -7,10 +7,10 @@ with it in some substring up to r // substrings bits (pigeonhole), so probing
 these balls retrieves every code within r; their rows are ranked by the inner
 product of the original vectors in double precision.
 
-Rows and queries are dealt over blocks by a hash, and each pair of a block of
-rows and a block of queries is one task: memory is bounded and no row is left
-out. A task keeps the best k of each query, so what is shuffled for a query is k
-rows for each block of rows.
+Rows are dealt over blocks by a hash, each row once, and a block is one task that
+holds its index. Queries pass every block in batches, so memory is bounded by a
+block of rows, whatever the number of queries. A task keeps the best k of each
+query, so what is shuffled for a query is itself and k rows for each block.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import Window as W
 
 from lattica.session import table
 
-#: Rows in a block of the index, and queries in a block, on average.
-ROW_BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Rows in a block of the index, on average.
+ROW_BLOCK = 16_384
 #: Rows that the rotation and the radius are learned from, at most: those with the least hash of their id.
 SAMPLE_ROWS = 4_096
 #: Passes of iterative quantisation.
@@ -144,41 +144,54 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     mean, rotation, radius = learn(np.array([r["embedding"] for r in sampled]), k)
     asked = ok.filter(is_query)
     row_blocks = max(1, -(-count // ROW_BLOCK))
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    own = lambda n: F.pmod(F.xxhash64(F.lit(SEED), "vec_id", F.col("embedding")[0]), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    indexed = ok.select(own(row_blocks).alias("rb"), every(query_blocks).alias("qb"), F.lit(0).alias("asks"), "vec_id", "embedding")
-    asking = asked.select(every(row_blocks).alias("rb"), own(query_blocks).alias("qb"), F.lit(1).alias("asks"), "vec_id", "embedding")
-    tasks = indexed.unionByName(asking).withColumn("task", (F.col("rb") * query_blocks + F.col("qb")).cast("int"))
+    own = F.pmod(F.xxhash64(F.lit(SEED), "vec_id", F.col("embedding")[0]), F.lit(row_blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))
+    indexed = ok.select(own.alias("task"), F.lit(0).alias("asks"), "vec_id", "embedding")
+    asking = asked.select(every.alias("task"), F.lit(1).alias("asks"), "vec_id", "embedding")
+    tasks = indexed.unionByName(asking)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lattica.llm.near_dups import _grouped
-
-        for t in _grouped(batches, "task"):
-            asks = t.column("asks").to_numpy() == 1
-            ids = t.column("vec_id").to_numpy()
-            x = t.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dims)
-            keep, given, wanted, asking_ids = ids[~asks], x[~asks], x[asks], ids[asks]
-            if not len(keep) or not len(wanted):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        task, index, keep, given = -1, None, None, None
+        for batch in batches:  # sorted: a task's rows, then its queries
+            if not batch.num_rows:
                 continue
-            index = MultiIndex(_codes(given, mean, rotation))
-            for qid, q, code in zip(asking_ids, wanted, _codes(wanted, mean, rotation)):
-                r = radius
-                while True:
-                    found = index.within(code, r)
-                    found = found[keep[found] != qid]
-                    if len(found) >= k or r >= code.size * SUBSTRING:
-                        break
-                    r = min(2 * r + 1, code.size * SUBSTRING)
-                score = (given[found] * q).sum(axis=1)
-                if len(found) > k:  # all that may be among the k, ties with the last included
-                    cut = np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[score >= cut], score[score >= cut]
-                order = np.lexsort((keep[found], -score))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), qid)), pa.array(keep[found][order]), pa.array(score[order])], ["query_id", "vec_id", "score"])
-
-    partitions = row_blocks * query_blocks
-    found = tasks.repartitionById(partitions, "task").sortWithinPartitions("task").mapInArrow(best, "query_id long, vec_id long, score double")
+            of, asks = batch.column("task").to_numpy(), batch.column("asks").to_numpy()
+            ids = batch.column("vec_id").to_numpy()
+            x = batch.column("embedding").flatten().to_numpy().reshape(-1, dims)
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(of)]):
+                if of[at] != task:
+                    task, index, held = of[at], None, []
+                if not asks[at]:
+                    held.append((ids[at:to].copy(), x[at:to].copy()))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    keep, given = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    index = MultiIndex(_codes(given, mean, rotation))
+                yield from nearest(index, keep, given, ids[at:to], x[at:to])
+
+    def nearest(index: MultiIndex, keep: np.ndarray, given: np.ndarray, asking_ids: np.ndarray, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out = []
+        for qid, q, code in zip(asking_ids, wanted, _codes(wanted, mean, rotation)):
+            r = radius
+            while True:
+                found = index.within(code, r)
+                found = found[keep[found] != qid]
+                if len(found) >= k or r >= code.size * SUBSTRING:
+                    break
+                r = min(2 * r + 1, code.size * SUBSTRING)
+            score = (given[found] * q).sum(axis=1)
+            if len(found) > k:  # all that may be among the k, ties with the last included
+                cut = np.partition(score, len(score) - k)[len(score) - k]
+                found, score = found[score >= cut], score[score >= cut]
+            order = np.lexsort((keep[found], -score))[:k]
+            out.append((np.full(len(order), qid), keep[found][order], score[order]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["query_id", "vec_id", "score"])
+
+    found = tasks.repartitionById(row_blocks, "task").sortWithinPartitions("task", "asks").mapInArrow(best, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
