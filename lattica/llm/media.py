@@ -157,20 +157,52 @@ def demux(data: bytes) -> Stream:
     has_field, has_data = (p[:, 3] & 0x20) > 0, (p[:, 3] & 0x10) > 0
     counters = p[:, 3] & 15
     begin = np.where(has_field, 5 + p[:, 4].astype(np.int32), 4)
+    # a packet may be sent twice, with the same counter and payload; a marked discontinuity starts counting anew
+    jumps = has_field & (p[:, 4] > 0) & ((p[:, 5] & 0x80) > 0)
+    twice = np.zeros(len(p), bool)
     for pid in np.unique(pids):
-        c = counters[(pids == pid) & has_data].astype(np.int32)
-        out.counter_errors += int(((c[1:] - c[:-1]) % 16 != 1).sum())
+        mine = np.flatnonzero((pids == pid) & has_data)
+        again = np.flatnonzero(counters[mine[1:]] == counters[mine[:-1]]) + 1
+        for k in again.tolist():
+            one, two = mine[k - 1], mine[k]
+            twice[two] = not twice[one] and not jumps[two] and begin[one] == begin[two] and bool((p[one, begin[one] :] == p[two, begin[two] :]).all())
+        mine = mine[~twice[mine]]
+        c = counters[mine].astype(np.int32)
+        out.counter_errors += int((((c[1:] - c[:-1]) % 16 != 1) & ~jumps[mine[1:]]).sum())
+    has_data &= ~twice
 
     def sections(pid: int) -> Iterator[bytes]:
-        for k in np.flatnonzero((pids == pid) & starts & has_data):
-            row = p[k].tobytes()
-            at = begin[k] + 1 + row[begin[k]]
-            length = 3 + (struct.unpack_from(">H", row, at + 1)[0] & 0xFFF)
-            body = row[at : at + length]
-            if crc_mpeg(body):
-                out.crc_errors += 1
-            else:
-                yield body
+        """Whole sections of a table, however they are spread over packets."""
+        held: bytes | None = None
+
+        def whole() -> Iterator[bytes]:
+            nonlocal held
+            while held:
+                if held[0] == 0xFF:  # stuffing up to the packet's end
+                    held = None
+                    return
+                size = 3 + (struct.unpack_from(">H", held, 1)[0] & 0xFFF) if len(held) > 2 else PACKET
+                if len(held) < size:
+                    return
+                body, held = held[:size], held[size:]
+                if crc_mpeg(body):
+                    out.crc_errors += 1
+                else:
+                    yield body
+
+        for k in np.flatnonzero((pids == pid) & has_data):
+            row = p[k, begin[k] :].tobytes()
+            if not starts[k]:
+                if held is not None:
+                    held += row
+                    yield from whole()
+                continue
+            pointer = row[0]
+            if held:
+                held += row[1 : 1 + pointer]
+                yield from whole()
+            held = row[1 + pointer :]
+            yield from whole()
 
     for pat in set(sections(PAT_PID)):
         for at in range(8, len(pat) - 4, 4):
@@ -195,7 +227,7 @@ def demux(data: bytes) -> Stream:
                 pes = b"".join(ends + ([p[rows[-1], begin[rows[-1]] :].tobytes()] if len(rows) > 1 else []))
             else:
                 pes = b"".join(p[k, begin[k] :].tobytes() for k in rows)
-            length = struct.unpack_from(">H", pes, 4)[0]
+            length = struct.unpack_from(">H", pes, 4)[0] or len(pes) - 6  # 0: up to the next unit
             if pes[:3] != b"\x00\x00\x01" or len(pes) < 6 + length:
                 raise ValueError("damaged elementary packet")
             out.times.append(_read_stamp(pes[9:14]) if pes[7] & 0x80 else -1)
