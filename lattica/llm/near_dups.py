@@ -242,8 +242,13 @@ def _forest(tasks: DataFrame, make: Callable[[pa.Table], tuple[np.ndarray, Trees
     return tasks.repartition(partitions, "task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
-def _linked(members: DataFrame, key: str, block: int, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (u, v) of trees that hold every link between members (cls, weight) of equal `key`.
+def _sizes(members: DataFrame, key: str) -> DataFrame:
+    """key and size of the keys with more than one member."""
+    return materialize(members.groupBy(key).agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+
+
+def _linked(members: DataFrame, sizes: DataFrame, key: str, block: int, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v) of trees that hold every link between members (cls, weight) of equal `key`, whose `sizes` are known.
 
     `link` finds the trees of tasks (cls, task, side): pairs of different sides
     are compared, or all pairs of a task whose side is 0. A key of up to `block`
@@ -251,12 +256,13 @@ def _linked(members: DataFrame, key: str, block: int, link: Callable[[DataFrame]
     with the key's PIVOTS (those of most weight in as many hash classes), then
     blocks that hold different trees with each other. A tree of more than a block
     has blocks of its own, which don't meet; the rest share blocks that meet all.
+    Tasks are stored before they meet what members hold: as their size is known
+    then, few tasks don't make that table shuffle.
     """
-    sizes = materialize(members.groupBy(key).agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     small = members.join(sizes.filter(F.col("size") <= block), key).select("cls", F.xxhash64(key).alias("task"), F.lit(0).alias("side"))
     large = sizes.filter(F.col("size") > block)
     if large.isEmpty():
-        return link(small)
+        return link(materialize(small, "tasks"))
     draw = F.xxhash64(F.lit(SEED), "cls")
     n_blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -264,7 +270,8 @@ def _linked(members: DataFrame, key: str, block: int, link: Callable[[DataFrame]
     best = held.groupBy(key, F.pmod(draw, F.lit(PIVOTS)).alias("of")).agg(F.max(F.struct("weight", draw.alias("draw"), "cls")).alias("best"))
     pivots = best.join(large, key).select(key, every(n_blocks("size")).alias("own"), F.col("best.cls").alias("cls"), F.lit(2).alias("side"))
     dealt = held.select(key, F.pmod(draw, n_blocks("size")).cast("int").alias("own"), "cls", F.lit(1).alias("side"))
-    first = materialize(link(dealt.unionByName(pivots).select("cls", F.xxhash64(F.lit("p"), key, "own").alias("task"), "side")), "first")
+    near = dealt.unionByName(pivots).select("cls", F.xxhash64(F.lit("p"), key, "own").alias("task"), "side")
+    first = materialize(link(materialize(near, "tasks")), "first")
     trees = connected_components(first).select(F.col("node").alias("cls"), F.col("component").alias("tree"))
     known = materialize(held.join(trees, "cls", "left").select(key, "cls", F.coalesce("tree", "cls").alias("tree")), "known")
     of_tree = known.groupBy(key, "tree").agg(F.count("*").alias("n"))
@@ -284,7 +291,7 @@ def _linked(members: DataFrame, key: str, block: int, link: Callable[[DataFrame]
     low, high = F.when(one <= two, one).otherwise(two), F.when(one <= two, two).otherwise(one)
     side = F.when(one == two, 0).when(one < two, 1).otherwise(2)
     second = met.select("cls", F.xxhash64(F.lit("m"), key, low["unit"].isNull(), low["unit"], low["own"], high["unit"].isNull(), high["unit"], high["own"]).alias("task"), side.alias("side"))
-    return link(small).unionByName(first).unionByName(link(second))
+    return link(materialize(small, "tasks")).unionByName(first).unionByName(link(materialize(second, "tasks")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -315,7 +322,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: tuple[int, int]
 
         return _forest(tasks.join(classes.select("cls", "sig"), "cls"), trees, partitions)
 
-    groups = connected_components(_linked(keys.withColumn("weight", F.lit(0)), "band", BUCKET_BLOCK, by_signature))
+    buckets = _sizes(keys, "band")
+    groups = connected_components(_linked(keys.withColumn("weight", F.lit(0)), buckets, "band", BUCKET_BLOCK, by_signature))
     groups = groups.select(F.col("node").alias("cls"), "component")
     # documents of several rows: a text for each of their sets, found by the set
     ids = held.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
@@ -351,10 +359,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: tuple[int, int]
         return _forest(tasks.join(texts, "cls"), trees, partitions)
 
     # what many buckets hold is near many others: the text that copies were made from rather than a copy
-    shared = keys.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_BLOCK)
-    weights = keys.join(shared, "band").groupBy("cls").agg(F.sum("n").alias("weight"))
+    shared = materialize(buckets.filter(F.col("size") > GROUP_BLOCK), "shared")
+    weights = keys.join(shared, "band").groupBy("cls").agg(F.sum("size").alias("weight"))
     members = groups.join(weights, "cls", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
-    edges = _linked(members, "component", GROUP_BLOCK, by_sets)
+    edges = _linked(members, _sizes(groups, "component"), "component", GROUP_BLOCK, by_sets)
     if several:
         in_class = own.join(classes.select("digest", "cls"), "digest").select("doc_id", "cls")
         led = in_class.groupBy("doc_id").agg(F.min("cls").alias("u"))
