@@ -6,8 +6,9 @@ import gc
 import os
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import compress
 
 import pyarrow as pa
 
@@ -24,8 +25,13 @@ ROUND_CHARS = 8 << 20
 #: not so U+0130) and signs that may follow it: ASCII's and general punctuation's, none of which a normalizer
 #: joins to what stands before it. Combining marks are no such signs: NFC makes one letter of e and U+0301.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-_SIGNS = re.escape("!\"#$%&()*+,-./:;=>?@[\\]^`{}~") + "\u2010-\u2027"
-_PLAIN = re.compile(rf"([{_LETTERS}]+)([{_SIGNS}]*)")
+_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^`{}~" + "".join(map(chr, range(0x2010, 0x2028)))
+_STEM = re.compile(f"[{_LETTERS}]+")
+
+
+def _plain(stem: str) -> bool:
+    """Whether a word without the signs after it is Latin letters; ASCII's need no pattern."""
+    return stem.isalpha() if stem.isascii() else _STEM.fullmatch(stem) is not None
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,15 +62,17 @@ class _Memo:
         if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
 
-    def missing(self, words: set[str]) -> list[str]:
-        """Words in neither generation; those in the old one become young again."""
-        new = words.difference(self.young)
-        if self.old:
-            known = new - new.difference(self.old)  # intersection() would walk through the memory
-            self.young.update(zip(known, map(self.old.__getitem__, known)))
-            new -= known
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """Of distinct words those in neither generation; those in the old one become young again."""
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young]
+        if old:
+            held = [w in old for w in new]
+            known = list(compress(new, held))
+            young.update(zip(known, map(old.__getitem__, known)))
+            new = [w for w, h in zip(new, held) if not h]
         self.long += [w for w in new if len(w) > MEMO_CHARS]
-        return list(new)
+        return new
 
     def forget_long(self) -> None:
         for w in self.long:
@@ -135,21 +143,24 @@ class WordMemo:
                 at = to
         return out
 
-    def _learn(self, memo: _Memo, words: set[str], lead: str) -> None:
+    def _learn(self, memo: _Memo, words: Iterable[str], lead: str) -> None:
         new = memo.missing(words)
         if not new:
             return
         rest = new
         if lead or self.dropped:
-            matched = [_PLAIN.fullmatch(w) for w in new]
-            plain = [m for m in matched if m]
-            rest = [w for w, m in zip(new, matched) if not m]
-            for sign in {m[2] for m in plain}.difference(self.signs):
+            cut = [(w, w.rstrip(_SIGNS)) for w in new]
+            latin = [_plain(stem) for _, stem in cut]
+            rest = [w for w, ok in zip(new, latin) if not ok]
+            plain = list(compress(cut, latin))
+            bare = [w for w, stem in plain if len(stem) == len(w)]
+            signed = [(w, stem, w[len(stem) :]) for w, stem in plain if len(stem) < len(w)]
+            for sign in {sign for _, _, sign in signed}.difference(self.signs):
                 self.signs[sign] = self._library([sign])[0]
-            stems = memo.missing({m[1] for m in plain})
+            stems = bare + memo.missing({stem for _, stem, _ in signed}.difference(bare))
             memo.young.update(zip(stems, self._running(stems), strict=True))
             known, signs = memo.young, self.signs
-            known.update([(m[0], known[m[1]] + signs[m[2]]) for m in plain if m[2]])
+            known.update([(w, known[stem] + signs[sign]) for w, stem, sign in signed])
             if len(signs) > MEMO_WORDS:
                 signs.clear()
         odd = [w for w in rest if "<|" in w]  # may hold an added token
@@ -172,8 +183,8 @@ class WordMemo:
         ends = cut.offsets.to_numpy()
         coded = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         ends = ends - ends[0]
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        self._learn(self.tail, set(words), "" if self.dropped else " ")
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(self.tail, words, "" if self.dropped else " ")
         values = list(map(self.tail.young.__getitem__, words))
         if not self.dropped:  # a text's first word has no space before it
             heads = [words[k] for k in codes[ends[:-1]]]
