@@ -42,9 +42,13 @@ def cumulative(probabilities: DataFrame) -> DataFrame:
 
 
 def sample_edges(cdf: DataFrame, uniforms: DataFrame) -> DataFrame:
-    """u, v, p, samples: how many of uniforms(x) fall into each edge's interval (lo < x <= hi); beyond the end the last edge."""
-    width = 1024
-    slot = lambda c: F.floor(F.least(c, F.lit(1.0 - 1e-12)) * width).cast("int")
+    """u, v, p, samples: how many of uniforms(x) fall into each edge's interval (lo < x <= hi); beyond the end the last edge.
+
+    Both sides meet in slots of equal width, as many as there are edges: an
+    interval spans two slots on average, so rows don't grow faster than edges.
+    """
+    width = max(1024, cdf.count())
+    slot = lambda c: F.floor(F.least(c, F.lit(1.0 - 1e-12)) * width).cast("long")
     last = cdf.agg(F.max("hi").alias("end"))
     x = uniforms.crossJoin(F.broadcast(last)).select(F.least("x", "end").alias("x"))
     spread = cdf.withColumn("slot", F.explode(F.sequence(slot(F.greatest("lo", F.lit(0.0))), slot(F.col("hi")))))
