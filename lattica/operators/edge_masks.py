@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.graph import bidirectional, degrees, four_cliques, support, triangles
-from lattica.operators.orbits import mask_table
-from lattica.session import materialize
+from lattica.operators.graph import bidirectional, four_cliques
+from lattica.operators.orbits import Parts, counting_parts, mask_table
 
 #: Bits of a mask whose places are u, v, a, b.
 UV, UA, UB, VA, VB, AB = 1, 2, 4, 8, 16, 32
@@ -22,16 +21,11 @@ _A = {"x": UA, "y": VA, "z": UA | VA}  # a as a neighbour of u alone, of v alone
 _B = {"x": UB, "y": VB, "z": UB | VB}
 
 
-def mask_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def mask_histogram(nodes: DataFrame, edges: DataFrame, parts: Parts | None = None) -> DataFrame:
     """u, v, size, mask and n: connected induced subgraphs that hold the edge, by shape around it."""
-    edges = materialize(edges.select("u", "v"), "edges")
-    tri = materialize(triangles(edges), "triangles")
-    sup = materialize(support(edges, tri), "support")
-    corner = tri.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
+    edges, tri, sup, info = parts or counting_parts(nodes, edges)
+    info = info.select("node", "d", "t", "r")
     two = bidirectional(edges)
-    deg = degrees(nodes, edges)
-    near = two.join(deg.select(F.col("node").alias("v"), "degree"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("degree").alias("reach"))
-    info = deg.join(corner, "node", "left").join(near, "node", "left").select("node", F.col("degree").alias("d"), F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("reach", F.lit(0)).alias("r"))
     # by edge of a triangle: the third node's degree, and the supports of the two other edges
     sides = F.array(*[F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), F.col(w).alias("w")) for p, q, w in (("a", "b", "c"), ("a", "c", "b"), ("b", "c", "a"))])
     third = tri.select(F.explode(sides).alias("k")).select("k.*").join(info.select(F.col("node").alias("w"), F.col("d").alias("dw")), "w")

@@ -281,3 +281,18 @@ def test_repeats_are_the_reference_s(spark):
     got = L.permutation_importance(df, ["a"], np.array([0.0, 1.0]), "y", "g").collect()
     assert sorted(r["repeat"] for r in got) == list(range(32)) and len({r["increase"] for r in got}) > 3
     assert inspect.signature(L.bootstrap_spearman).parameters["repeats"].default == 200
+
+
+def test_stored_counts_are_not_broadcast_for_their_small_files(spark, monkeypatch):
+    from lattica import session
+    from lattica.sources.graphs import ring
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1000)
+    edges, nodes = ring(spark, 100), spark.range(100).toDF("node")
+    long = S.counts(nodes, edges)[1]
+    assert long.count() == 1500
+    plan = long.join(long.toDF("node", "orbit", "now"), ["node", "orbit"])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    kept, gone = S.batch_prune(nodes, edges, 0.1, 2, d_min=1)
+    again = S.batch_prune(nodes, edges, 0.1, 2, d_min=1, counted=S.counts(nodes, edges))
+    assert gone.count() == 20 and sorted(kept.collect()) == sorted(again[0].collect()) and sorted(gone.collect()) == sorted(again[1].collect())
