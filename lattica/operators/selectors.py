@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lattica.operators.graph import bidirectional, degrees
+from lattica.session import stored
 
 #: Fixed value of the minimum hash: a prime.
 PRIME = 2_147_483_647
@@ -56,13 +57,85 @@ def sample_edges(cdf: DataFrame, uniforms: DataFrame) -> DataFrame:
     return hit.groupBy("u", "v", "p").agg(F.count("*").alias("samples"))
 
 
+def uniforms(spark: SparkSession, rng: np.random.RandomState, start: int, stop: int, held: tuple[bytes, int, int] | None = None, chunk: int = 1 << 20) -> DataFrame:
+    """k and x: uniforms start .. stop - 1 of a stream that stands at `start`, and stands at `stop` afterwards.
+
+    The driver only runs through the stream, a block at a time, and notes the
+    generator's state at each chunk; tasks draw the chunks. `held`: packed bits,
+    slots and slots a bit; a uniform is left out if the bit of its slot isn't set.
+    """
+    chunk, block = max(chunk, (stop - start) // 4096), 1 << 16
+    states = []
+    for first in range(start, stop, chunk):
+        n = min(chunk, stop - first)
+        _, keys, place, *_ = rng.get_state()
+        states.append((first, n, int(place), bytearray(keys.tobytes())))
+        for k in range(0, n, block):
+            rng.random_sample(min(block, n - k))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if held is None else np.unpackbits(np.frombuffer(held[0], np.uint8)).astype(bool)
+        for batch in batches:
+            for s in batch.to_pylist():
+                own = np.random.RandomState()
+                own.set_state(("MT19937", np.frombuffer(s["keys"], np.uint32), s["place"]))
+                for k in range(0, s["n"], block):
+                    x = own.random_sample(min(block, s["n"] - k))
+                    at = np.arange(s["first"] + k, s["first"] + k + len(x))
+                    if wanted is not None:
+                        take = wanted[np.floor(np.minimum(x, 1.0 - 1e-12) * held[1]).astype(np.int64) // held[2]]
+                        x, at = x[take], at[take]
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(x)], ["k", "x"])
+
+    rows = spark.createDataFrame(states, "first long, n long, place int, keys binary")
+    return rows.repartition(max(1, min(len(states), 1024))).mapInArrow(draw, "k long, x double")
+
+
+def first_draws(cdf: DataFrame, total: int, spans: int = 4, bits: int = 1 << 20) -> Callable[[int], DataFrame]:
+    """Gives u, v and first for a budget: the first uniform that draws an edge, for every edge that so many uniforms draw (and perhaps some drawn later).
+
+    cdf: stored u, v, lo, hi of `total` edges. The stream is read once, in
+    stretches of doubling length. Only edges not drawn yet go on, and only
+    uniforms whose slots such an edge still touches are dealt: later draws of
+    an edge don't change its first. None is left out otherwise.
+    """
+    spark, width = cdf.sparkSession, max(1024, total)
+    ratio = -(-width // bits)
+    slot = lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0 - 1e-12)) * width).cast("long")
+    end = cdf.agg(F.max("hi")).first()[0] if total else 0.0
+    spread = lambda df: df.withColumn("slot", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))))
+    rng = np.random.RandomState(SAMPLER_SEED)
+    at, left, open_edges, found = 0, cdf.select("u", "v", "lo", "hi"), total, []
+
+    def firsts(budget: int) -> DataFrame:
+        nonlocal at, left, open_edges
+        while at < budget and open_edges:
+            stop, held = min(budget, max(spans * total, 2 * at)), None
+            if found:
+                touched = spread(left).select((F.col("slot") / ratio).cast("long").alias("s")).distinct().toArrow().column("s").to_numpy()
+                mark = np.zeros(-(-width // ratio), bool)
+                mark[touched] = True
+                mark[int(min(end, 1.0 - 1e-12) * width) // ratio :] = True  # uniforms beyond the end draw the last edge
+                held = (np.packbits(mark).tobytes(), width, ratio)
+            x = uniforms(spark, rng, at, stop, held).select("k", F.least("x", F.lit(end)).alias("x"))
+            hit = spread(left).join(x.withColumn("slot", slot(F.col("x"))), "slot").filter("x > lo and x <= hi")
+            found.append(stored(hit.groupBy("u", "v").agg(F.min("k").alias("first")), "first"))
+            left = stored(left.join(found[-1], ["u", "v"], "left_anti"), "undrawn")
+            at, open_edges = stop, left.count()
+        out = cdf.select("u", "v", F.lit(0).cast("long").alias("first")).limit(0) if not found else found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out
+
+    return firsts
+
+
 def dspar(nodes: DataFrame, edges: DataFrame, epsilon: float) -> DataFrame:
     """u, v, weight of the sampled edges; weight is samples / budget / p. Uniforms come from one seeded stream, as the sampler is sequential."""
     spark = edges.sparkSession
     budget = sample_budget(nodes.count(), epsilon)
-    x = np.random.RandomState(SAMPLER_SEED).random_sample(budget)
-    uniforms = spark.createDataFrame([(float(v),) for v in x], "x double")
-    return sample_edges(cumulative(edge_probabilities(nodes, edges)), uniforms).select("u", "v", (F.col("samples") / F.lit(float(max(budget, 1))) / F.col("p")).alias("weight"))
+    x = uniforms(spark, np.random.RandomState(SAMPLER_SEED), 0, budget).select("x")
+    return sample_edges(cumulative(edge_probabilities(nodes, edges)), x).select("u", "v", (F.col("samples") / F.lit(float(max(budget, 1))) / F.col("p")).alias("weight"))
 
 
 def lsh_dims(dims: int, sparsity: float) -> int:

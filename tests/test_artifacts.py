@@ -124,3 +124,22 @@ def test_calibrate_lsp_is_both_variants_over_the_grid(spark):
     assert all(n in got for v in "pt" for n in P.lsp_neighbours(min((s for s in got if s[0] == v and s[1] in P.LSP_KS and s[2] in P.LSP_SPARSITIES and (v == "t" or s[3] in P.LSP_STEPS)), key=lambda s: (abs(1 - got[s] / 300 - 0.3), s[1], s[2], s[3] or 0.0))))
     for v, k, share, step in (("p", 3, 0.5, 0.5), ("p", 1, 0.95, 4.0), ("p", 5, 0.25, 0.125), ("t", 2, 0.5, None), ("t", 5, 0.95, None), ("t", 1, 0.25, None)):
         assert got[v, k, share, step] == lsp(edges, features, 4, k, share, step, variant=v).count()
+
+
+def test_uniforms_are_the_stream_and_first_draws_are_exact(spark):
+    import numpy as np
+
+    from lattica.operators import selectors as B
+
+    want = np.random.RandomState(B.SAMPLER_SEED).random_sample(3000)
+    rng = np.random.RandomState(B.SAMPLER_SEED)
+    for start, stop in ((0, 1000), (1000, 3000)):
+        got = sorted(map(tuple, B.uniforms(spark, rng, start, stop, chunk=300).collect()))
+        assert got == list(enumerate(want.tolist()))[start:stop]
+    hi = np.cumsum(np.arange(1, 41) / 820)
+    cdf = spark.createDataFrame([(k, k + 1, float(h - (k + 1) / 820), float(h)) for k, h in enumerate(hi)], "u long, v long, lo double, hi double")
+    firsts = B.first_draws(cdf, 40, spans=1, bits=64)
+    of = np.minimum(np.searchsorted(hi, want), 39)
+    for budget in (40, 500, 3000):
+        drawn = {r["u"]: r["first"] for r in firsts(budget).collect() if r["first"] < budget}
+        assert drawn == {int(e): int(np.flatnonzero(of[:budget] == e)[0]) for e in set(of[:budget].tolist())}
